@@ -73,10 +73,10 @@ def _power(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
-def _hash_slice(data: np.ndarray, bounds: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_slice(data: np.ndarray, bounds: np.ndarray, blank: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if n == 0:
-        return np.zeros(0, _U), np.zeros(len(bounds), np.int64)
+        return np.zeros((0, 1 + len(prefixes)) if prefixes else 0, _U), np.zeros(len(bounds), np.int64)
     is_blank = blank[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
@@ -87,12 +87,18 @@ def _hash_slice(data: np.ndarray, bounds: np.ndarray, blank: np.ndarray) -> tupl
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, _U)
         np.cumsum(_BYTE[data] * _power(_BASE, n), dtype=_U, out=total[1:])
-        hashes = (total[ends] - total[starts]) * _power(_INVERSE, n)[starts]
-        hashes = mix(hashes + (ends - starts).astype(_U) * _U(_ODD))
+        back = _power(_INVERSE, n)[starts]
+        hashes = mix((total[ends] - total[starts]) * back + (ends - starts).astype(_U) * _U(_ODD))
+        if prefixes:
+            columns = [hashes]
+            for size in prefixes:
+                part = mix((total[np.minimum(starts + size, n)] - total[starts]) * back - _U(size * 2 + 1))
+                columns.append(np.where(ends - starts > size, part, _U(0)))
+            hashes = np.stack(columns, axis=1)
     return hashes, np.searchsorted(starts, bounds)
 
 
-def _long(data: np.ndarray, blank: np.ndarray) -> np.ndarray:
+def _long(data: np.ndarray, blank: np.ndarray, prefixes: tuple[int, ...]) -> np.ndarray:
     """Word hashes of one text longer than a slice, window by window, cut at blanks."""
     parts, at, n = [], 0, len(data)
     while at < n:
@@ -103,16 +109,17 @@ def _long(data: np.ndarray, blank: np.ndarray) -> np.ndarray:
                 end = at + int(cut[-1]) + 1
                 break
             end = min(n, end + SLICE_BYTES)
-        parts.append(_hash_slice(data[at:end], np.array([0, end - at]), blank)[0])
+        parts.append(_hash_slice(data[at:end], np.array([0, end - at]), blank, prefixes)[0])
         at = end
     return np.concatenate(parts)
 
 
-def hashed_words(texts: pa.Array, blank: np.ndarray = BLANK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hashed_words(texts: pa.Array, blank: np.ndarray = BLANK, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (index of the first text, word hashes, offsets of the texts in them), slice by slice.
 
     Words are maximal runs of bytes outside ``blank``, with A-Z lower-cased; a
-    null text has no words.
+    null text has no words. With ``prefixes`` (sizes in bytes) each word gives a
+    row: its hash, then the hash of each prefix shorter than the word, else 0.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -127,10 +134,10 @@ def hashed_words(texts: pa.Array, blank: np.ndarray = BLANK) -> Iterator[tuple[i
         j = min(n, max(j, i + 1))
         part = data[offsets[i] : offsets[j]]
         if j == i + 1 and len(part) > SLICE_BYTES:
-            hashes = _long(part, blank)
+            hashes = _long(part, blank, prefixes)
             yield i, hashes, np.array([0, len(hashes)])
         else:
-            yield (i, *_hash_slice(part, offsets[i : j + 1] - offsets[i], blank))
+            yield (i, *_hash_slice(part, offsets[i : j + 1] - offsets[i], blank, prefixes))
         i = j
 
 
