@@ -13,8 +13,9 @@ of them with a probability of 5e-6.
 Verification never lists the pairs of a bucket. Sets that are equal are one
 class from the start. Each round picks a leader in each bucket and compares
 every other member with the leader it shares most bands with; what passes is
-contracted. Only pairs whose classes still differ are then compared one by one,
-buckets with many such members only where a second band agrees too.
+contracted. Pairs of a bucket whose classes still differ are then estimated from
+their sketches, in blocks of bounded size, and verified if the estimate is
+within five deviations of the threshold.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Leader rounds before pairs across classes are compared one by one.
 ROUNDS = 3
-#: A bucket with more unlinked members than this asks for a second common band.
-CROWDED = 256
+#: Rows of a bucket in a block; larger buckets are compared block by block.
+BLOCK = 1024
+#: Coordinates that must agree before a pair is verified: at 0.75 of 225, five deviations of 6.5 less.
+AGREE = 135
 #: Members of one leader that one task compares.
 MEMBERS = 256
 
@@ -85,19 +88,20 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(ends)
             low = np.array([int(sets[a:b].sum(dtype=_U)) for a, b in zip(ends[:-1], ends[1:], strict=True)], _U)
             high = np.array([int(np.bitwise_xor.reduce(mix(sets[a:b] + _U(1)))) if b > a else 0 for a, b in zip(ends[:-1], ends[1:], strict=True)], _U)
-            keys = _band_keys(sketch(sets, ends))
+            rows = sketch(sets, ends)
+            keys, bytes_ = _band_keys(rows), mix(rows).astype(np.uint8)
             full = n > 0
             starts = np.concatenate(([0], np.cumsum(np.where(full, BANDS, 0)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, len(n)), pa.array(n.astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.ListArray.from_arrays(pa.array(starts), pa.array(keys[full].ravel()))],
-                names=["doc_id", "n", "low", "high", "bands"],
+                [ids.slice(at, len(n)), pa.array(n.astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.ListArray.from_arrays(pa.array(starts), pa.array(keys[full].ravel())), pa.array([x.tobytes() for x in bytes_], pa.binary())],
+                names=["doc_id", "n", "low", "high", "bands", "sketch"],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (doc_id, n, low, high, bands): set size, a 128-bit key of the set, 45 band keys (none for an empty set)."""
+    """(doc_id, text) to (doc_id, n, low, high, bands, sketch): set size, a 128-bit key of the set, 45 band keys (none for an empty set), a byte of each coordinate."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures, "doc_id long, n long, low long, high long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures, "doc_id long, n long, low long, high long, bands array<long>, sketch binary")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +198,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         classes = _classes(sets, links[1:])
     if tried is not None:
-        rest = _across(_open(members, classes))
+        rest = _across(_open(members, classes), sig.where("n > 0").groupBy("doc_id").agg(F.first("sketch").alias("sketch")))
         done = tried.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
         rest = stage(rest.join(done, ["leader", "member"], "left_anti"), "across")
         if not rest.isEmpty():
@@ -215,13 +219,43 @@ def _open(members: DataFrame, classes: DataFrame | None) -> DataFrame:
     return stage(rooted.join(mixed, "band", "left_semi"), "open")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """(leader, member) with leader < member, in one bucket, of different classes and of sizes that fit."""
-    crowded = stage(rows.groupBy("band").agg(F.count("*").alias("m")).where(F.col("m") > CROWDED).select("band"), "crowded")
-    few = rows.join(crowded, "band", "left_anti").select("band", F.lit(0).cast("long").alias("also"), "doc_id", "n", "root")
-    hot = stage(rows.join(crowded, "band", "left_semi"), "hot_rows")
-    again = hot.join(rows.select("doc_id", F.col("band").alias("also")), "doc_id").where("also <> band").select("band", "also", "doc_id", "n", "root")
-    keyed = stage(few.unionByName(again), "keyed")
-    other = keyed.select("band", "also", *(F.col(c).alias(f"o_{c}") for c in ("doc_id", "n", "root")))
-    pairs = keyed.join(other, ["band", "also"]).where((F.col("doc_id") < F.col("o_doc_id")) & (F.col("root") != F.col("o_root")) & _fits("n", "o_n"))
-    return pairs.select(F.col("doc_id").alias("leader"), F.col("o_doc_id").alias("member")).distinct()
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (band, i, j): yields pairs of classes that differ, of sizes that fit, whose sketches agree enough."""
+    at, held = None, []
+
+    def pairs() -> pa.RecordBatch:
+        side, doc, n, root = (np.array([r[k] for r in held]) for k in range(4))
+        marks = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(len(held), -1)
+        left = np.flatnonzero(side == at[1])
+        right = np.flatnonzero(side == at[2])
+        found = set()
+        for i in left:
+            others = right[root[right] != root[i]]
+            others = others[DENOMINATOR * np.minimum(n[others], n[i]) >= NUMERATOR * np.maximum(n[others], n[i])]
+            if at[1] == at[2]:
+                others = others[others > i]
+            close = others[(marks[others] == marks[i]).sum(axis=1) >= AGREE]
+            found.update((min(doc[i], doc[o]), max(doc[i], doc[o])) for o in close)
+        found = sorted(found)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["leader", "member"])
+
+    for batch in batches:
+        band, i, j, *rest = (batch.column(k).to_pylist() for k in range(8))
+        for key, row in zip(zip(band, i, j, strict=True), zip(*rest, strict=True), strict=True):
+            if key != at:
+                if len(held) > 1:
+                    yield pairs()
+                at, held = key, []
+            held.append(row)
+    if len(held) > 1:
+        yield pairs()
+
+
+def _across(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(leader, member) with leader < member, in one bucket, of different classes, sizes that fit and sketches that agree."""
+    crowded = stage(rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "crowded")
+    dealt = rows.join(crowded, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.join(sketches, "doc_id").select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "root", "sketch")
+    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return dealt.mapInArrow(_blocks, "leader long, member long").distinct()
