@@ -13,9 +13,10 @@ of them with a probability of 5e-6.
 Verification never lists the pairs of a bucket. Sets that are equal are one
 class from the start. Each round picks a leader in each bucket and compares
 every other member with the leader it shares most bands with; what passes is
-contracted. Pairs of a bucket whose classes still differ are then estimated from
-their sketches, in blocks of bounded size, and verified if the estimate is
-within five deviations of the threshold.
+contracted. Members of a bucket whose classes still differ are then compared in
+blocks of bounded size, each pair in its first common bucket only: where sizes
+fit and the sketches' estimate is within five deviations of the threshold, the
+sets are compared. Only links leave a block, never candidate pairs.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Leader rounds before pairs across classes are compared one by one.
 ROUNDS = 3
 #: Rows of a bucket in a block; larger buckets are compared block by block.
-BLOCK = 1024
+BLOCK = 512
 #: Coordinates that must agree before a pair is verified: at 0.75 of 225, five deviations of 6.5 less.
 AGREE = 135
 #: Members of one leader that one task compares.
@@ -117,9 +118,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not is_member[row]:
                     at_leader, held = (leader[row], part[row]), own
                 elif at_leader == (leader[row], part[row]) and len(own) and len(held):
-                    where = np.searchsorted(held, own)
-                    where[where == len(held)] = 0
-                    common = int((held[where] == own).sum())
+                    common = _common(held, own)
                     if DENOMINATOR * common >= NUMERATOR * (len(own) + len(held) - common):
                         found_u.append(member[row])
                         found_v.append(leader[row])
@@ -142,7 +141,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_compare, "u long, v long")
 
 
-def _classes(reps: DataFrame, links: list[DataFrame]) -> DataFrame:
+def _classes(links: list[DataFrame]) -> DataFrame:
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionByName(more)
@@ -185,7 +184,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # Rows that share a doc_id tie their sets together.
     links = [full.join(sets.where("rep <> last"), key).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")]
-    classes, tried = None, None
+    classes = None
     for k in range(ROUNDS):
         open_rows = _open(members, classes)
         lead = stage(open_rows.groupBy("band").agg(F.min_by(F.struct("doc_id", "n", "root"), F.xxhash64("doc_id", F.lit(k)) if k else F.col("doc_id")).alias("lead")), "leads")
@@ -195,15 +194,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             break
         links.append(stage(verified(pairs, texts), "links"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        classes = _classes(sets, links[1:])
-    if tried is not None:
-        rest = _across(_open(members, classes), sig.where("n > 0").groupBy("doc_id").agg(F.first("sketch").alias("sketch")))
-        done = tried.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
-        rest = stage(rest.join(done, ["leader", "member"], "left_anti"), "across")
-        if not rest.isEmpty():
-            links.append(stage(verified(rest, texts), "links"))
-    classes = _classes(sets, links)
+        classes = _classes(links[1:])
+    sketches = reps.select("doc_id", "sketch", "bands").dropDuplicates(["doc_id"])
+    links.append(stage(_across(_open(members, classes), sketches, texts), "links"))
+    classes = _classes(links)
     named = stage(sets.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("component_id")), "named")
     out = sig.select("doc_id", *key).join(named, key, "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
@@ -219,43 +213,72 @@ def _open(members: DataFrame, classes: DataFrame | None) -> DataFrame:
     return stage(rooted.join(mixed, "band", "left_semi"), "open")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (band, i, j): yields pairs of classes that differ, of sizes that fit, whose sketches agree enough."""
-    at, held = None, []
+class _Block:
+    """Rows of two blocks of a bucket; ``links`` gives the pairs that are similar enough."""
+
+    def __init__(self, key: tuple, rows: list[tuple]) -> None:
+        self.key, self.rows = key, rows
+        self.side, self.doc, self.n, self.root = (np.array([r[k] for r in rows]) for k in range(4))
+        self.marks = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.bands = np.array([r[5] for r in rows], np.int64)
+        self.sets: dict[int, np.ndarray] = {}
 
-    def pairs() -> pa.RecordBatch:
-        side, doc, n, root = (np.array([r[k] for r in held]) for k in range(4))
-        marks = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(len(held), -1)
-        left = np.flatnonzero(side == at[1])
-        right = np.flatnonzero(side == at[2])
-        found = set()
+    def set_of(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            _, hashes, offsets = next(hashed_words(pa.array([self.rows[i][6]], pa.string())))
+            self.sets[i] = shingles(hashes, offsets, WIDTH)[0]
+        return self.sets[i]
+
+    def links(self) -> list[tuple[int, int]]:
+        band, first, second = self.key
+        left, right = np.flatnonzero(self.side == first), np.flatnonzero(self.side == second)
+        found = []
         for i in left:
-            others = right[root[right] != root[i]]
-            others = others[DENOMINATOR * np.minimum(n[others], n[i]) >= NUMERATOR * np.maximum(n[others], n[i])]
-            if at[1] == at[2]:
+            others = right[self.root[right] != self.root[i]]
+            others = others[DENOMINATOR * np.minimum(self.n[others], self.n[i]) >= NUMERATOR * np.maximum(self.n[others], self.n[i])]
+            if first == second:
                 others = others[others > i]
-            close = others[(marks[others] == marks[i]).sum(axis=1) >= AGREE]
-            found.update((min(doc[i], doc[o]), max(doc[i], doc[o])) for o in close)
-        found = sorted(found)
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["leader", "member"])
+            others = others[(self.marks[others] == self.marks[i]).sum(axis=1) >= AGREE]
+            same = self.bands[others] == self.bands[i]
+            for o in others[self.bands[i][same.argmax(axis=1)] == band] if len(others) else []:
+                a, b = self.set_of(i), self.set_of(o)
+                common = _common(a, b)
+                if DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common):
+                    found.append((int(self.doc[i]), int(self.doc[o])))
+        return found
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted, distinct, non-empty arrays share."""
+    where = np.searchsorted(a, b)
+    where[where == len(a)] = 0
+    return int((a[where] == b).sum())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (band, i, j) to links (u, v)."""
+    at, held = None, []
+
+    def links() -> pa.RecordBatch:
+        found = _Block(at, held).links() if len(held) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     for batch in batches:
-        band, i, j, *rest = (batch.column(k).to_pylist() for k in range(8))
+        band, i, j, *rest = (batch.column(k).to_pylist() for k in range(10))
         for key, row in zip(zip(band, i, j, strict=True), zip(*rest, strict=True), strict=True):
             if key != at:
-                if len(held) > 1:
-                    yield pairs()
+                yield links()
                 at, held = key, []
             held.append(row)
-    if len(held) > 1:
-        yield pairs()
+    yield links()
 
 
-def _across(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(leader, member) with leader < member, in one bucket, of different classes, sizes that fit and sketches that agree."""
+def _across(rows: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between rows of one bucket whose classes differ."""
     crowded = stage(rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "crowded")
     dealt = rows.join(crowded, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.join(sketches, "doc_id").select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "root", "sketch")
-    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return dealt.mapInArrow(_blocks, "leader long, member long").distinct()
+    whole = stage(sketches.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").join(texts, "doc_id"), "whole")
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "root").join(whole, "doc_id")
+    dealt = dealt.select("band", "i", "j", "own", "doc_id", "n", "root", "sketch", "bands", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return dealt.mapInArrow(_blocks, "u long, v long")
