@@ -10,6 +10,7 @@ from .minhash import near_duplicates
 from .packing import pack
 from .shared import table
 from .toxicity import scores
+from .warc import archived
 
 #: File name of the public tokenizer that documents are packed by.
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +23,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
     return scores(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -36,6 +41,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op8_best_fit_packing": op8_best_fit_packing,
