@@ -11,6 +11,7 @@ from .chat import chain, digests, formatted
 from .minhash import near_duplicates
 from .mixing import mixed
 from .packing import pack
+from .pii import report
 from .quality import quality
 from .sharding import sharded
 from .shared import table
@@ -30,6 +31,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
@@ -70,6 +75,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
