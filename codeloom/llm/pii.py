@@ -54,7 +54,7 @@ class Limits:
     candidates: int = 20_000
     rounds: int = 12
     rate: float = 0.5
-    precision: float = 0.99
+    precision: float = 0.998
     least_positives: int = 10
 
 

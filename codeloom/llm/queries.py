@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chain, digests, formatted
+from .lattice import near_vectors
 from .minhash import near_duplicates
 from .mixing import mixed
 from .packing import pack
@@ -64,6 +65,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 #: Texts full of control strings, formatted with every run.
 PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_near_vectors": op9_near_vectors,
     "op10_chat": op10_chat,
 }
 
