@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,11 +31,14 @@ from .shared import small_batches, stage
 LENGTH = 2048
 OPEN_BINS = 64
 #: Distinct chunks whose ids a task holds at most.
-CACHE = 400_000
+CACHE = 600_000
 #: Tasks' leftovers that one task of the next round packs.
 FAN_IN = 16
 END = b"\x00\x00\x00\x00"
-_SPECIAL = re.compile("<\\||[\x1c-\x1f]")
+# What a special token begins with, and characters that str.split takes for white space but the tokenizer doesn't.
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: A word of Latin-1 letters with ASCII marks around it, no apostrophe: the tokenizer cuts it just there.
+_PLAIN = re.compile("([!-&(-/:-@\\[-_{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-_{-~]*)")
 
 
 class BestFit:
@@ -80,42 +84,104 @@ class BestFit:
         return {name: free for free, names in self.by_free.items() for name in names}
 
 
+class Recent:
+    """What was looked up lately, in two plain dictionaries; when ``newer`` is full, it becomes ``older``, which goes."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def lacking(self, keys: set) -> list:
+        """Those of ``keys`` that aren't known; the others are in ``newer`` afterwards."""
+        out = keys.difference(self.newer)
+        if len(self.newer) + len(out) > self.most:
+            self.older, self.newer, out = self.newer, {}, keys
+        found = [k for k in out if k in self.older]
+        self.newer.update((k, self.older[k]) for k in found)
+        return list(out.difference(found))
+
+
 def token_source(path: str) -> Callable[[], Callable[[list], list[bytes]]]:
-    """A maker, for workers, of a function from texts to their ids as little-endian 32-bit bytes, each with id 0 at the end."""
+    """A maker, for workers, of a function from texts to their ids as little-endian 32-bit bytes, each with id 0 at the end.
+
+    The function needs all chunks of the texts it gets at once in its cache.
+    """
 
     def make() -> Callable[[list], list[bytes]]:
         import os
+        import sys
+        import types
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        cache: dict[str, bytes] = {}
+        # A worker serves task after task; what it has looked up stays with the process.
+        kept = sys.modules.setdefault("_codeloom_tokens", types.ModuleType("_codeloom_tokens"))
+        if getattr(kept, "path", None) != path:
+            from tokenizers import Tokenizer
+
+            kept.path, kept.tokenizer = path, Tokenizer.from_file(path)
+            names = kept.tokenizer.get_vocab()
+            kept.last = np.zeros(max(names.values()) + 1, bool)
+            kept.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
+            kept.chunks, kept.parts = Recent(CACHE), Recent(CACHE // 2)
+        known, known_parts = kept.chunks, kept.parts
 
         def encode(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return [array("I", e.ids).tobytes() for i in range(0, len(texts), 10_000) for e in kept.tokenizer.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False)]
 
-        def ids(texts: list) -> list[bytes]:
+        def encode_words(words: list[str]) -> list[bytes]:
+            """Ids of parts that the tokenizer doesn't cut: many in one text, told apart by their last tokens."""
             out = []
-            for text in texts:
-                if not text:
-                    out.append(END)
-                elif _SPECIAL.search(text):
-                    out.append(encode([text])[0] + END)
-                else:
-                    chunks = text.split()
-                    missing = list(set(chunks).difference(cache))
-                    if missing:
-                        if len(cache) + len(missing) > CACHE:
-                            cache.clear()
-                            missing = list(set(chunks))
-                        for i in range(0, len(missing), 10_000):
-                            part = missing[i : i + 10_000]
-                            cache.update(zip(part, encode(part), strict=True))
-                    out.append(b"".join(map(cache.__getitem__, chunks)) + END)
+            for i in range(0, len(words), 1000):
+                some = words[i : i + 1000]
+                ids = np.array(kept.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+                ends = (np.flatnonzero(kept.last[ids]) + 1) * 4
+                if len(ends) != len(some):
+                    out.extend(encode(some))
+                    continue
+                data, at = ids.tobytes(), 0
+                for end in ends.tolist():
+                    out.append(data[at:end])
+                    at = end
             return out
 
-        return ids
+        def learn(chunks: set) -> None:
+            cut, whole = {}, []
+            for chunk in known.lacking(chunks):
+                plain = _PLAIN.fullmatch(chunk)
+                if plain:
+                    before, word, after = plain.groups()
+                    cut[chunk] = (before, word.lower(), after)
+                else:
+                    whole.append(chunk)
+            new = known_parts.lacking({x for parts in cut.values() for x in parts if x})
+            parts_seen = known_parts.newer
+            parts_seen.update(zip(new, encode_words(new), strict=True))
+            parts_seen[""] = b""
+            known.newer.update((chunk, parts_seen[a] + parts_seen[b] + parts_seen[c]) for chunk, (a, b, c) in cut.items())
+            known.newer.update(zip(whole, encode(whole), strict=True))
+
+        def one(text: str, chunks: list[str] | None) -> bytes:
+            if chunks is None:
+                return encode([text])[0] + END
+            try:
+                return b"".join(map(known.newer.__getitem__, chunks)) + END
+            except KeyError:
+                learn(set(chunks))
+                return b"".join(map(known.newer.__getitem__, chunks)) + END
+
+        def many(texts: list) -> list[bytes]:
+            cuts = [None if text and any(x in text for x in _ODD) else (text or "").split() for text in texts]
+            together: set = set()
+            for chunks in cuts:
+                together.update(chunks or ())
+                if len(together) > CACHE // 8:
+                    learn(together)
+                    together = set()
+            learn(together)
+            return list(map(one, texts, cuts))
+
+        return many
 
     return make
 
@@ -132,9 +198,7 @@ def _packer(make: Callable, length: int, bins: int) -> Callable:
         for batch in batches:
             ids_of = ids_of or make()
             done = []
-            for i in range(batch.num_rows):
-                doc = batch.column(0)[i].as_py()
-                ids = ids_of([batch.column(1)[i].as_py()])[0]
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist()), strict=True):
                 total = len(ids) // 4
                 for piece, start in enumerate(range(0, total, length)):
                     part = ids[start * 4 : (start + length) * 4]
