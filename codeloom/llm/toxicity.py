@@ -246,7 +246,7 @@ def _calibrate(model: Model, words: np.ndarray, texts: list, y: np.ndarray, lang
         model.thresholds[lang] = float(np.median(tries[f1 == f1.max()]))
 
 
-def scores(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), extra: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, lang_threshold, flagged.
 
     ``flagged`` compares the score with the threshold of the row's language,
@@ -254,10 +254,13 @@ def scores(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Dat
     texts get the score of a text without words; an unknown or null language
     has the threshold 0.5; rows that repeat get one row each; labels that are
     null or neither 0 nor 1 are ignored. Without labels of both classes all
-    scores are the same. Empty tables give no rows; other columns are ignored.
+    scores are the same. Empty tables give no rows; of other columns those named in ``extra``
+    are carried along.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    extra = tuple(c for c in extra if c != "doc_id")
+    asked = F.struct("doc_id", *extra).alias("row")
+    own = docs.select(asked, F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     # Plain arrays: workers need no class of this package to read them.
     model = spark.sparkContext.broadcast(vars(train(sample(docs, labels, limits), limits)))
 
@@ -272,10 +275,10 @@ def scores(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Dat
                 n = len(s)
                 limit = np.array([m.thresholds.get(x, 0.5) for x in batch.column(1).slice(at, n).to_pylist()], float)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(limit), pa.array(s >= limit)],
-                    names=["doc_id", "lang", "score", "predicted", "lang_threshold", "flagged"],
+                    [batch.column(0).slice(at, n), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(limit), pa.array(s >= limit)],
+                    names=["row", "score", "predicted", "lang_threshold", "flagged"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.mapInArrow(score, f"doc_id {kind}, lang string, score double, predicted int, lang_threshold double, flagged boolean")
-    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted", "lang_threshold", "flagged")
+    kind = own.schema["row"].dataType.simpleString()
+    out = own.mapInArrow(score, f"row {kind}, score double, predicted int, lang_threshold double, flagged boolean")
+    return out.select("row.doc_id", (fold("row.doc_id") == 0).alias("held_out"), "score", "predicted", "lang_threshold", "flagged", *(f"row.{c}" for c in extra))
