@@ -1,0 +1 @@
+"""Scalar functions over symbol strings and paths, as Column expressions."""

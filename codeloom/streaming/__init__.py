@@ -1,0 +1 @@
+"""Nothing streams here: an index is a snapshot, and no operator keeps state over time."""
