@@ -38,7 +38,7 @@ _U = np.uint64
 class Limits:
     """Bounds of the training sample, and the training schedule."""
 
-    per_class: int = 4000
+    per_class: int = 3000
     sample_chars: int = 20_000
     least_texts: int = 3
     epochs: int = 5
@@ -91,13 +91,16 @@ def sample(docs: DataFrame, labels: DataFrame, limits: Limits) -> list:
 
 def _words(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(hashes of each distinct word and its prefixes, the texts as numbers of these words)."""
-    rows, ends = [], [0]
+    rows, numbers, ends = [], [], [0]
     for _, hashes, offsets in hashed_words(pa.array(texts, pa.string()), NOT_ALNUM, PREFIXES):
-        rows.append(hashes)
+        _, first, inverse = np.unique(hashes[:, 0], return_index=True, return_inverse=True)
+        numbers.append(inverse.astype(np.int32) + sum(map(len, rows)))
+        rows.append(hashes[first])
         ends.extend(ends[-1] + np.diff(offsets).cumsum())
     every = np.concatenate(rows) if rows else np.zeros((0, 1 + len(PREFIXES)), _U)
     _, first, inverse = np.unique(every[:, 0], return_index=True, return_inverse=True)
-    return every[first], [inverse[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    numbers = inverse.astype(np.int32)[np.concatenate(numbers)] if numbers else np.zeros(0, np.int32)
+    return every[first], [numbers[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _vocabulary(words: np.ndarray, texts: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
