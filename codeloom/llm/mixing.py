@@ -94,19 +94,20 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
     which replace them.
     """
     spark = docs.sparkSession
-    docs = docs.drop("mix_class", "mix_block", "mix_slot", "mix_position")
+    # Other columns travel in one struct, so no name of theirs can clash with one below.
+    kept = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")]
+    docs = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.struct(*kept).alias("mix_row"))
     sizes = stage(docs.groupBy("source").agg(F.count("*").alias("n")).where("source is not null"), "sources")
     top = [r["source"] for r in sizes.orderBy(F.desc("n"), "source").limit(CLASSES).collect()]
     named = F.when(F.col("source").isin(top), F.col("source")).otherwise(F.lit(REST)) if top else F.lit(REST)
     rows = numbered(docs.withColumn("mix_class", named), "mix_class", "doc_id", "mix_number")
     counts = {r["mix_class"]: -(-r["n"] // block_rows) for r in docs.groupBy(named.alias("mix_class")).agg(F.count("*").alias("n")).collect()}
-    plan = spark.createDataFrame(schedule(counts, weights or {}), "mix_class string, first long, last long, from_slot long, period long, places array<int>")
-    block = F.floor(F.col("mix_number") / block_rows)
-    rows = rows.withColumn("mix_block", block)
+    plan = spark.createDataFrame(schedule(counts, weights or {}), "p_class string, first long, last long, from_slot long, period long, places array<int>")
+    rows = rows.withColumn("mix_block", F.floor(F.col("mix_number") / block_rows))
     # Bounded: at most CLASSES + 1 classes in as many phases, PERIOD places in each phase.
-    placed = rows.join(F.broadcast(plan.withColumnRenamed("mix_class", "p_class")), (F.col("mix_class") == F.col("p_class")) & F.col("mix_block").between(F.col("first"), F.col("last")))
+    placed = rows.join(F.broadcast(plan), (F.col("mix_class") == F.col("p_class")) & F.col("mix_block").between(F.col("first"), F.col("last")))
     index = F.col("mix_block") - F.col("first")
     per = F.size("places")
     slot = F.col("from_slot") + F.floor(index / per) * F.col("period") + F.get("places", (index % per).cast("int"))
-    placed = placed.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("mix_number") % block_rows)
-    return placed.drop("p_class", "first", "last", "from_slot", "period", "places", "mix_class", "mix_number")
+    position = F.col("mix_slot") * block_rows + F.col("mix_number") % block_rows
+    return placed.withColumn("mix_slot", slot).select(*(F.col(f"mix_row.`{c}`") for c in kept), "mix_block", "mix_slot", position.alias("mix_position"))

@@ -306,7 +306,8 @@ def redacted(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     is replaced and what the other has beyond it, too. Null texts stay null;
     all other columns stay.
     """
-    out = spans(docs, fit(docs, limits))
+    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("pii_row"))
+    out = spans(own, fit(docs, limits))
     by_start = F.array_sort(F.transform("pii_all", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
     out = out.withColumn("pii_order", by_start)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
@@ -320,4 +321,4 @@ def redacted(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.col("text").substr(acc["at"] + 1, F.length("text")))
     text = F.when(F.size("pii_order") > 0, F.aggregate("pii_order", zero, step, rest)).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*docs.columns)
+    return out.withColumn("text", text).select(*(F.col("text") if c == "text" else F.col(f"pii_row.`{c}`") for c in docs.columns))
