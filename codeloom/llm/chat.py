@@ -58,7 +58,7 @@ def branches(messages: DataFrame) -> DataFrame:
     tree or isn't smaller than its node makes the node a root, so there are no
     cycles. After k joins every leaf has its 2^k nearest messages.
     """
-    nodes = messages.select("tree", "node", F.when(F.col("parent") < F.col("node"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    nodes = stage(messages.select("tree", "node", F.when(F.col("parent") < F.col("node"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
     known = nodes.select(F.col("tree").alias("k_tree"), F.col("node").alias("up"))
     ups = nodes.join(known, F.col("tree").eqNullSafe(F.col("k_tree")) & (F.col("parent") == F.col("up"))).select("tree", "node", "up")
     ups = stage(ups, "ups")
