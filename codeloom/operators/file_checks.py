@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,11 +12,14 @@ from .project_checks import _same_file, coupling, fan_out
 
 #: Symbols of a file whose pressure is listed.
 TOP = 5
-_NAME = symbols.short_name(F.col("symbol")).alias("name")
+
+
+def _name() -> Column:
+    return symbols.short_name(F.col("symbol")).alias("name")
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    return rows.select("path", "symbol_id", _NAME, "start_line", "end_line")
+    return rows.select("path", "symbol_id", _name(), "start_line", "end_line")
 
 
 def _not_live(facts: Facts, rows: DataFrame) -> DataFrame:
@@ -44,13 +47,13 @@ def unused_imports(facts: Facts) -> DataFrame:
     """path, symbol_id, name, chunk_id: one row per import mention whose symbol the file doesn't use otherwise."""
     used = facts.use.where("n_use > 0").select("symbol_id", "doc_id")
     rows = facts.located.where(F.col("role") == IMPORT).join(used, ["symbol_id", "doc_id"], "left_anti")
-    return rows.join(facts.names, "symbol_id").join(facts.docs, "doc_id").select("path", "symbol_id", _NAME, "chunk_id")
+    return rows.join(facts.names, "symbol_id").join(facts.docs, "doc_id").select("path", "symbol_id", _name(), "chunk_id")
 
 
 def change_surface(facts: Facts) -> DataFrame:
     """path, symbol_id, name, lines, consumers, risk: high above 10 consumers, medium above none."""
     risk = F.when(F.col("consumers") > 10, "high").when(F.col("consumers") > 0, "medium").otherwise("low")
-    return facts.defuse.select("path", "symbol_id", _NAME, "start_line", "end_line", "consumers", risk.alias("risk"))
+    return facts.defuse.select("path", "symbol_id", _name(), "start_line", "end_line", "consumers", risk.alias("risk"))
 
 
 def file_consumers(facts: Facts) -> DataFrame:
@@ -71,7 +74,7 @@ def imports_summary(facts: Facts) -> DataFrame:
     totals = facts.use.where("n_import > 0").groupBy("doc_id").agg(F.count("*").alias("total"))
     homes = facts.index.ranges.select("symbol_id", F.col("document_id").alias("home")).join(facts.docs.select(F.col("doc_id").alias("home"), F.col("path").alias("from_file")), "home")
     rows = imports.join(homes, "symbol_id", "left").join(totals, "doc_id").join(facts.docs, "doc_id")
-    return rows.select("path", "symbol_id", _NAME, "chunk_id", F.coalesce("from_file", F.lit("(external)")).alias("from_file"), "total")
+    return rows.select("path", "symbol_id", _name(), "chunk_id", F.coalesce("from_file", F.lit("(external)")).alias("from_file"), "total")
 
 
 def top_symbol_pressure(facts: Facts, top: int = TOP) -> DataFrame:
@@ -79,4 +82,4 @@ def top_symbol_pressure(facts: Facts, top: int = TOP) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("consumers"), "start_line", "symbol_id"))
     rows = facts.defuse.where("consumers > 0").withColumn("rank", rank).where(F.col("rank") <= min(TOP, top)).join(fan_out(facts), "doc_id", "left")
     out = F.coalesce("fan_out", F.lit(0)).cast("long")
-    return rows.select("path", "symbol_id", _NAME, "consumers", "loc", F.col("consumers").alias("fan_in"), out.alias("fan_out"), (F.col("consumers") * out).alias("pressure"))
+    return rows.select("path", "symbol_id", _name(), "consumers", "loc", F.col("consumers").alias("fan_in"), out.alias("fan_out"), (F.col("consumers") * out).alias("pressure"))

@@ -12,8 +12,13 @@ from ..functions import paths, symbols
 from .model import DEFINITION, Facts
 from .symbol_checks import prefixes
 
-_LEAF = symbols.leaf_name(F.col("symbol")).alias("name")
-_KIND = symbols.kind(F.col("symbol")).alias("kind")
+
+def _leaf() -> Column:
+    return symbols.leaf_name(F.col("symbol")).alias("name")
+
+
+def _kind() -> Column:
+    return symbols.kind(F.col("symbol")).alias("kind")
 
 
 def _any(tests: list[Column]) -> Column:
@@ -87,14 +92,14 @@ def outermost(paths_of: DataFrame) -> DataFrame:
     """``path`` of folders without those that have another of the folders below them."""
     own = paths_of.select("path").distinct()
     parts = F.split("path", "/")
-    above = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path"))
+    above = own.select(F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.size(parts)), lambda n: n < F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path"))
     return own.join(above.distinct(), "path", "left_anti")
 
 
 def file_symbols(facts: Facts) -> DataFrame:
     """path, symbol_id, name, kind, lines, freq: definitions of every file, and how often the file has the name."""
     rows = facts.index.ranges.join(facts.names, "symbol_id").join(facts.docs, F.col("document_id") == F.col("doc_id")).where(~symbols.is_module(F.col("symbol")))
-    rows = rows.select("path", "symbol_id", _LEAF, _KIND, "start_line", "end_line")
+    rows = rows.select("path", "symbol_id", _leaf(), _kind(), "start_line", "end_line")
     return rows.withColumn("freq", F.count("*").over(Window.partitionBy("path", "name")))
 
 
@@ -115,7 +120,7 @@ def members(facts: Facts) -> DataFrame:
     rows = prefixes(facts.names.where(~symbols.is_parameter(F.col("symbol")))).join(parents, "parent")
     rows = rows.where(symbols.is_direct_member(F.col("parent"), F.col("symbol")))
     ranges = facts.index.ranges.select("symbol_id", "start_line", "end_line")
-    return rows.join(ranges, "symbol_id", "left").select("parent_id", "symbol_id", _LEAF, _KIND, "start_line", "end_line")
+    return rows.join(ranges, "symbol_id", "left").select("parent_id", "symbol_id", _leaf(), _kind(), "start_line", "end_line")
 
 
 def def_location(facts: Facts) -> DataFrame:
@@ -149,7 +154,7 @@ def _callee_rows(facts: Facts, rows: DataFrame, *keys: str) -> DataFrame:
     homes = facts.index.ranges.select(F.col("symbol_id").alias("callee_id"), F.col("document_id").alias("home"), "start_line")
     names = facts.names.select(F.col("symbol_id").alias("callee_id"), "symbol")
     rows = rows.join(homes, "callee_id").join(names, "callee_id").join(facts.docs.select(F.col("doc_id").alias("home"), "path"), "home")
-    return rows.select(*keys, "callee_id", _LEAF, "path", "start_line").distinct()
+    return rows.select(*keys, "callee_id", _leaf(), "path", "start_line").distinct()
 
 
 def deps_of_symbols(facts: Facts) -> DataFrame:
@@ -187,7 +192,7 @@ def search(facts: Facts, patterns: list[str], kind: str | None = None, scope: st
     rows = facts.names.join(ids.distinct(), "symbol_id", "left_semi").where(~symbols.is_noisy_in_search(s))
     rows = rows.where(symbols.kind(s) == kind) if kind else rows
     rows = rows.join(def_location(facts), "symbol_id", "left").join(document_path(facts).withColumnRenamed("path", "named"), "symbol_id", "left")
-    return rows.select("symbol_id", F.coalesce("path", "named", F.lit("?")).alias("path"), (F.col("start_line") + 1).alias("line"), _KIND, _LEAF)
+    return rows.select("symbol_id", F.coalesce("path", "named", F.lit("?")).alias("path"), (F.col("start_line") + 1).alias("line"), _kind(), _leaf())
 
 
 def _dotted(pattern: str) -> bool:

@@ -13,11 +13,13 @@ from ..functions import paths, symbols
 from .graph import two_way_cycles
 from .model import Facts
 
-_NAME = symbols.short_name(F.col("symbol")).alias("name")
+
+def _name() -> Column:
+    return symbols.short_name(F.col("symbol")).alias("name")
 
 
 def _symbol_rows(rows: DataFrame, *more: str | Column) -> DataFrame:
-    return rows.select("symbol_id", _NAME, "path", *more)
+    return rows.select("symbol_id", _name(), "path", *more)
 
 
 def hotspots(facts: Facts) -> DataFrame:

@@ -19,10 +19,9 @@ MODIFIERS = "(?:(?:public|private|protected|static|readonly)\\s+)*"
 
 def read_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Source lines of the files below ``root``; paths that leave it can't be named."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     path = F.regexp_replace(F.col("_metadata.file_path"), "^.*?\\Q" + root.rstrip("/") + "\\E/", "")
-    rows = files.select(path.alias("relative_path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
-    return rows
+    return files.select(path.alias("relative_path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text"))
 
 
 def refs(facts: Facts, ids: DataFrame | None = None) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import symbols
 from .model import Facts
 from .project_checks import fan_out
 
-_NAME = symbols.short_name(F.col("symbol")).alias("name")
+
+def _name() -> Column:
+    return symbols.short_name(F.col("symbol")).alias("name")
 
 
 def consumer_files(facts: Facts) -> DataFrame:
@@ -24,7 +26,7 @@ def dependencies(facts: Facts) -> DataFrame:
     """symbol_id, callee_id, name, path: symbols used anywhere in the symbol's file and defined in another."""
     used = facts.use.where("n_use > 0").select(F.col("symbol_id").alias("callee_id"), "doc_id")
     homes = facts.defs.select(F.col("symbol_id").alias("callee_id"), F.col("doc_id").alias("home"), "symbol", "path")
-    per_file = used.join(homes, "callee_id").where("home <> doc_id").select("doc_id", "callee_id", _NAME, "path").distinct()
+    per_file = used.join(homes, "callee_id").where("home <> doc_id").select("doc_id", "callee_id", _name(), "path").distinct()
     return facts.defs.select("symbol_id", "doc_id").join(per_file, "doc_id").select("symbol_id", "callee_id", "name", "path").distinct()
 
 
@@ -32,7 +34,7 @@ def symbol_pressure(facts: Facts) -> DataFrame:
     """symbol_id, name, loc, fan_in, fan_out, pressure."""
     rows = facts.defuse.join(fan_out(facts), "doc_id", "left")
     out = F.coalesce("fan_out", F.lit(0)).cast("long")
-    return rows.select("symbol_id", _NAME, "loc", F.col("consumers").alias("fan_in"), out.alias("fan_out"), (F.col("consumers") * out).alias("pressure"))
+    return rows.select("symbol_id", _name(), "loc", F.col("consumers").alias("fan_in"), out.alias("fan_out"), (F.col("consumers") * out).alias("pressure"))
 
 
 def prefixes(names: DataFrame) -> DataFrame:
@@ -47,4 +49,4 @@ def def_context(facts: Facts) -> DataFrame:
     """symbol_id, name, kind, path, lines, display_name, members: how many symbols begin with this one."""
     counts = prefixes(facts.names).groupBy("parent").agg(F.count("*").alias("members"))
     rows = facts.defs.join(counts, F.col("symbol") == F.col("parent"), "left")
-    return rows.select("symbol_id", _NAME, symbols.kind(F.col("symbol")).alias("kind"), "path", "start_line", "end_line", F.coalesce("display_name", F.lit("-")).alias("display_name"), F.coalesce("members", F.lit(0)).cast("long").alias("members"))
+    return rows.select("symbol_id", _name(), symbols.kind(F.col("symbol")).alias("kind"), "path", "start_line", "end_line", F.coalesce("display_name", F.lit("-")).alias("display_name"), F.coalesce("members", F.lit(0)).cast("long").alias("members"))
