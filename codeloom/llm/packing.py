@@ -31,7 +31,7 @@ from .shared import small_batches, stage
 LENGTH = 2048
 OPEN_BINS = 64
 #: Distinct chunks whose ids a task holds at most.
-CACHE = 600_000
+CACHE = 300_000
 #: Tasks' leftovers that one task of the next round packs.
 FAN_IN = 16
 END = b"\x00\x00\x00\x00"
@@ -123,42 +123,39 @@ def token_source(path: str) -> Callable[[], Callable[[list], list[bytes]]]:
             names = kept.tokenizer.get_vocab()
             kept.last = np.zeros(max(names.values()) + 1, bool)
             kept.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
-            kept.chunks, kept.parts = Recent(CACHE), Recent(CACHE // 2)
-        known, known_parts = kept.chunks, kept.parts
+            kept.chunks = Recent(CACHE)
+        known = kept.chunks
 
         def encode(texts: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for i in range(0, len(texts), 10_000) for e in kept.tokenizer.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False)]
 
-        def encode_words(words: list[str]) -> list[bytes]:
-            """Ids of parts that the tokenizer doesn't cut: many in one text, told apart by their last tokens."""
+        def encode_plain(chunks: list[str], parts: list[int]) -> list[bytes]:
+            """Ids of chunks that the tokenizer cuts into so many parts: many in one text, told apart by their parts' last tokens."""
             out = []
-            for i in range(0, len(words), 1000):
-                some = words[i : i + 1000]
+            for i in range(0, len(chunks), 1000):
+                some, ends = chunks[i : i + 1000], np.cumsum(parts[i : i + 1000])
                 ids = np.array(kept.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-                ends = (np.flatnonzero(kept.last[ids]) + 1) * 4
-                if len(ends) != len(some):
+                last = np.flatnonzero(kept.last[ids]) + 1
+                if len(last) != ends[-1]:
                     out.extend(encode(some))
                     continue
                 data, at = ids.tobytes(), 0
-                for end in ends.tolist():
+                for end in (last[ends - 1] * 4).tolist():
                     out.append(data[at:end])
                     at = end
             return out
 
         def learn(chunks: set) -> None:
-            cut, whole = {}, []
+            plain, parts, whole = [], [], []
             for chunk in known.lacking(chunks):
-                plain = _PLAIN.fullmatch(chunk)
-                if plain:
-                    before, word, after = plain.groups()
-                    cut[chunk] = (before, word.lower(), after)
+                cut = _PLAIN.fullmatch(chunk)
+                if cut:
+                    before, after = cut.span(2)
+                    plain.append(chunk)
+                    parts.append(1 + (before > 0) + (after < len(chunk)))
                 else:
                     whole.append(chunk)
-            new = known_parts.lacking({x for parts in cut.values() for x in parts if x})
-            parts_seen = known_parts.newer
-            parts_seen.update(zip(new, encode_words(new), strict=True))
-            parts_seen[""] = b""
-            known.newer.update((chunk, parts_seen[a] + parts_seen[b] + parts_seen[c]) for chunk, (a, b, c) in cut.items())
+            known.newer.update(zip(plain, encode_plain(plain, parts), strict=True))
             known.newer.update(zip(whole, encode(whole), strict=True))
 
         def one(text: str, chunks: list[str] | None) -> bytes:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken in slices of about so many bytes, so that memory doesn't follow the batch.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -64,7 +64,7 @@ _powers = _Cache()
 def _power(base: int, n: int) -> np.ndarray:
     got = _powers.get(base)
     if got is None or len(got) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n, SLICE_BYTES)
         got = np.full(size, base, _U)
         got[0] = 1
         with np.errstate(over="ignore"):
