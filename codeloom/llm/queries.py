@@ -11,6 +11,7 @@ from .chat import chain, digests, formatted
 from .lattice import near_vectors
 from .minhash import near_duplicates
 from .mixing import mixed
+from .oracles import ORACLE_SQL  # noqa: F401
 from .packing import pack
 from .pii import report
 from .quality import quality
@@ -91,5 +92,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_vectors": op9_near_vectors,
     "op10_chat": op10_chat,
 }
-
-ORACLE_SQL: dict[str, str] = {}
