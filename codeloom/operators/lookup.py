@@ -35,24 +35,32 @@ def _in_scope(facts: Facts, rows: DataFrame, scope: str | None) -> DataFrame:
     return rows.join(facts.defs.where(paths.in_scope(F.col("path"), scope)).select("symbol_id"), "symbol_id", "left_semi")
 
 
-def resolve_symbol(facts: Facts, name: str, kind: str | None = None, scope: str | None = None) -> DataFrame:
-    """symbol_id, symbol, display_name of a bare or qualified name.
+def resolve_symbols(facts: Facts, asked: list[tuple[str, str | None]], scope: str | None = None) -> DataFrame:
+    """asked, symbol_id, symbol, display_name for several (name, kind) at once; names may be bare or qualified.
 
     Symbols whose leaf is the name; only if there is none, those that contain it
-    in their last segment. Both are one plan: the lowest tier found wins.
+    in their last segment. All names and both tiers are one plan, in which the
+    lowest tier that a name is found in wins.
     """
-    parts, leaf = symbols.parse_qualified(name)
     s = F.col("symbol")
-    exact = _any([symbols.like(s, p) for p in symbols.leaf_patterns(leaf)])
-    loose = symbols.like(s, f"%{symbols.escape_like(leaf)}%") & (F.contains(symbols.last_segment(s), F.lit(leaf)) | F.contains(symbols.leaf_name(s), F.lit(leaf)))
-    rows = facts.names.where(symbols.may_be_kind(s, kind)) if kind else facts.names
-    rows = _in_scope(facts, rows, scope).withColumn("tier", F.when(exact, 0).when(loose, 1)).where("tier is not null")
-    # One group at most per tier: the smallest tier by a scalar aggregate, joined as one row.
-    best = rows.agg(F.min("tier").alias("best"))
-    rows = rows.join(F.broadcast(best), F.col("tier") == F.col("best"))
-    if parts:
-        rows = rows.where(symbols.matches_qualifier(s, parts, leaf) & ~symbols.is_parameter(s))
-    return rows.select("symbol_id", "symbol", "display_name")
+    tests = []
+    for name, kind in asked:
+        parts, leaf = symbols.parse_qualified(name)
+        exact = _any([symbols.like(s, p) for p in symbols.leaf_patterns(leaf)])
+        loose = symbols.like(s, f"%{symbols.escape_like(leaf)}%") & (F.contains(symbols.last_segment(s), F.lit(leaf)) | F.contains(symbols.leaf_name(s), F.lit(leaf)))
+        tier = F.when(exact, 0).when(loose, 1)
+        inside = symbols.matches_qualifier(s, parts, leaf) & ~symbols.is_parameter(s) if parts else F.lit(True)
+        tests.append(F.struct(F.lit(name).alias("asked"), F.when(symbols.may_be_kind(s, kind), tier).alias("tier") if kind else tier.alias("tier"), inside.alias("inside")))
+    rows = _in_scope(facts, facts.names, scope).select("symbol_id", "symbol", "display_name", F.explode(F.filter(F.array(*tests), lambda t: t["tier"].isNotNull())).alias("t"))
+    # One row for each name that was asked for.
+    best = rows.groupBy(F.col("t.asked").alias("asked")).agg(F.min("t.tier").alias("best"))
+    rows = rows.join(F.broadcast(best), F.col("t.asked") == F.col("asked")).where("t.tier = best and t.inside")
+    return rows.select("asked", "symbol_id", "symbol", "display_name")
+
+
+def resolve_symbol(facts: Facts, name: str, kind: str | None = None, scope: str | None = None) -> DataFrame:
+    """symbol_id, symbol, display_name of one name."""
+    return resolve_symbols(facts, [(name, kind)], scope).drop("asked")
 
 
 def resolve_file(facts: Facts, pattern: str, scope: str | None = None) -> DataFrame:

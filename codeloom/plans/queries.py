@@ -80,7 +80,7 @@ def components(f: Facts) -> DataFrame:
 
 
 def resolve_symbol(f: Facts) -> DataFrame:
-    return _union([lookup.resolve_symbol(f, name, kind).select(F.lit(name).alias("asked"), "symbol_id", "symbol") for name, kind in NAMES])
+    return lookup.resolve_symbols(f, list(NAMES)).select("asked", "symbol_id", "symbol")
 
 
 def resolve_file(f: Facts) -> DataFrame:
