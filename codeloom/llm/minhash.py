@@ -43,7 +43,7 @@ BLOCK = 512
 #: Coordinates that must agree before a pair is verified: at 0.75 of 225, five deviations of 6.5 less.
 AGREE = 135
 #: Members of one leader that one task compares.
-MEMBERS = 256
+MEMBERS = 64
 
 _U = np.uint64
 

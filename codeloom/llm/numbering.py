@@ -10,6 +10,8 @@ from .shared import stage
 
 #: Rows that one window partition holds on average at most.
 PART_ROWS = 20_000
+#: Parts that a small table is dealt to, so that its hot groups are even, too.
+LEAST_PARTS = 64
 
 
 def numbered(df: DataFrame, group: str, key: str, name: str) -> DataFrame:
@@ -20,7 +22,7 @@ def numbered(df: DataFrame, group: str, key: str, name: str) -> DataFrame:
     rows that share a part by force are those that repeat one key.
     """
     total = df.count()
-    part = F.pmod(F.xxhash64(key), F.lit(max(1, -(-total // PART_ROWS)))).cast("int")
+    part = F.pmod(F.xxhash64(key), F.lit(max(LEAST_PARTS, -(-total // PART_ROWS)))).cast("int")
     dealt = df.withColumn("_part", part)
     sizes = dealt.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
