@@ -38,7 +38,7 @@ _U = np.uint64
 class Limits:
     """Bounds of the training sample, and the training schedule."""
 
-    per_class: int = 3000
+    per_class: int = 2000
     sample_chars: int = 20_000
     least_texts: int = 3
     epochs: int = 5
@@ -105,11 +105,12 @@ def _words(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
 
 def _vocabulary(words: np.ndarray, texts: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots, prints): words and prefixes of at least ``least`` texts; of two with one hash place the more frequent stays."""
-    parts = []
+    keys, numbers = np.unique(words, return_inverse=True)
+    numbers = numbers.astype(np.int32).reshape(words.shape)
+    counts = np.zeros(len(keys), np.int32)
     for t in texts:
-        got = np.unique(words[np.unique(t)])
-        parts.append(got[got != 0])
-    keys, counts = np.unique(np.concatenate(parts or [np.zeros(0, _U)]), return_counts=True)
+        counts[np.unique(numbers[np.unique(t)])] += 1
+    counts[keys == 0] = 0
     order = np.argsort(counts, kind="stable")
     keys = keys[order][counts[order] >= least]
     slots = np.zeros(1 << TABLE_BITS, np.int32)
