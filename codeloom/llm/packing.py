@@ -103,10 +103,7 @@ class Recent:
 
 
 def token_source(path: str) -> Callable[[], Callable[[list], list[bytes]]]:
-    """A maker, for workers, of a function from texts to their ids as little-endian 32-bit bytes, each with id 0 at the end.
-
-    The function needs all chunks of the texts it gets at once in its cache.
-    """
+    """A maker, for workers, of a function from texts to their ids as little-endian 32-bit bytes, each with id 0 at the end."""
 
     def make() -> Callable[[list], list[bytes]]:
         import os
@@ -158,25 +155,28 @@ def token_source(path: str) -> Callable[[], Callable[[list], list[bytes]]]:
             known.newer.update(zip(plain, encode_plain(plain, parts), strict=True))
             known.newer.update(zip(whole, encode(whole), strict=True))
 
-        def one(text: str, chunks: list[str] | None) -> bytes:
-            if chunks is None:
-                return encode([text])[0] + END
-            try:
-                return b"".join(map(known.newer.__getitem__, chunks)) + END
-            except KeyError:
-                learn(set(chunks))
-                return b"".join(map(known.newer.__getitem__, chunks)) + END
-
         def many(texts: list) -> list[bytes]:
-            cuts = [None if text and any(x in text for x in _ODD) else (text or "").split() for text in texts]
+            out: list[bytes] = []
+            waiting: list[list[str] | None] = []
             together: set = set()
-            for chunks in cuts:
-                together.update(chunks or ())
+
+            def flush() -> None:
+                """Look up all that waits at once; what was learnt last can't have left the cache yet."""
+                learn(together)
+                known_ids = known.newer.__getitem__
+                at = len(out)
+                out.extend(encode([texts[at + i]])[0] + END if chunks is None else b"".join(map(known_ids, chunks)) + END for i, chunks in enumerate(waiting))
+                waiting.clear()
+                together.clear()
+
+            for text in texts:
+                odd = text and any(x in text for x in _ODD)
+                waiting.append(None if odd else (text or "").split())
+                together.update(waiting[-1] or ())
                 if len(together) > CACHE // 8:
-                    learn(together)
-                    together = set()
-            learn(together)
-            return list(map(one, texts, cuts))
+                    flush()
+            flush()
+            return out
 
         return many
 
