@@ -194,6 +194,33 @@ def test_a_schedule_places_every_block_once():
     assert used == set(range(1040)) and taken == {"a": 1000, "b": 37, "c": 3}
 
 
+def test_a_long_run_stays_within_one_block_of_the_true_weights():
+    for n, blocks in ((20, 1500), (256, 60)):
+        weights = {f"src{i}": 1.0 for i in range(n)} | {"src0": 3.0, "src1": 2.0}
+        # Long decimals have no short period: the slots are listed.
+        for own in (weights, weights | {"src0": 3.1415926535}):
+            total, at = sum(own.values()), {}
+            for k, first, last, start, period, places in schedule(dict.fromkeys(own, blocks), own):
+                at |= {start + i // len(places) * period + places[i % len(places)]: k for i in range(last - first + 1)}
+            assert sorted(at) == list(range(n * blocks))
+            done = collections.Counter()
+            for t in range(n * blocks):
+                done[at[t]] += 1
+                if done["src0"] == blocks:
+                    break
+                assert all(abs(done[k] - (t + 1) * own[k] / total) < 1 + 1e-6 for k in ("src0", "src1", "src2", f"src{n - 1}"))
+
+
+def test_each_of_many_sources_has_its_own_weight(spark):
+    rows = [(i, "", "en", f"s{i % 300:03d}") for i in range(1200)]
+    out = mixed(docs(spark, rows), {"s299": 4.0, "s000": 0.0}, block_rows=1).collect()
+    assert sorted(r.mix_position for r in out) == list(range(1200))
+    # Shares: 298 of 1 and one of 4; the source of weight 0 waits for all others.
+    early = collections.Counter(r.source for r in out if r.mix_slot < 302)
+    assert early == {f"s{i:03d}": 1 for i in range(1, 299)} | {"s299": 4}
+    assert {r.source for r in out if r.mix_slot >= 1196} == {"s000"}
+
+
 def test_mixing(spark):
     rows = [(i, str(i), "en", "abcd"[min(i % 10, 3)]) for i in range(1000)] + [(i, t, "en", None) for i, t in ODD]
     df = docs(spark, rows, extra=True)
