@@ -88,11 +88,11 @@ def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:
         total = now
 
 
-def longer_cycles(facts: Facts, most: int = 3) -> DataFrame:
+def longer_cycles(facts: Facts, most: int = MAX_FILES) -> DataFrame:
     """Cycles of 3 to ``most`` files, at most ``MAX_FILES``, as arrays of paths that begin with the least path.
 
     Paths grow one edge a round from their least file, within edges of cycles.
-    Their number can be exponential in ``most``, so the default is small.
+    Their number can be exponential in ``most``.
     """
     every = file_edges(facts)
     every = every if facts.include_tests else every.where("not from_test and not to_test")
