@@ -6,8 +6,6 @@ packing (op8), the schedule (op5), CRC-32 (op7).
 
 from __future__ import annotations
 
-from .quality import ENOUGH, FENCES, LEAST_WORDS, REPEAT_PERCENT
-
 _WORD = r"[^\x20\x09-\x0D]+"
 
 OP2 = """
@@ -53,16 +51,19 @@ _METRICS = {
 
 
 def _fence(keys: str, name: str) -> str:
-    """Quartile sketch values of each group."""
+    """Sketch quantiles of each group."""
     by = f"PARTITION BY {keys}, metric" if keys else "PARTITION BY metric"
     group = f"{keys}, metric" if keys else "metric"
+    at = ", ".join(f"MIN(CASE WHEN upto >= {p / 100} * docs THEN place END) AS q{p}" for p in (25, 50, 75, 97, 99))
     return f"""
-{name} AS (SELECT {group}, MAX(docs) AS docs, MIN(CASE WHEN 4 * upto >= docs THEN place END) AS q1, MIN(CASE WHEN 4 * upto >= 2 * docs THEN place END) AS q2
+{name} AS (SELECT {group}, MAX(docs) AS docs, {at}
   FROM (SELECT {group}, place, SUM(COUNT(*)) OVER ({by} ORDER BY place) AS upto, SUM(COUNT(*)) OVER ({by}) AS docs FROM place GROUP BY {group}, place) t GROUP BY {group})"""
 
 
-_LIMITS = " ".join(f"WHEN '{m}' THEN greatest({t} * (q2 - q1), {g})" for m, (t, g, _) in FENCES.items())
-_BELOW = ", ".join(f"'{m}'" for m, (_, _, below) in FENCES.items() if below)
+def _end(q: str) -> str:
+    """The last value that shares the place ``q`` of the sketch."""
+    return f"({q} + (1::BIGINT << greatest(length(bin({q})) - 7, 0)) - 1)"
+
 
 OP6 = rf"""
 WITH w AS (SELECT row_number() OVER () AS row, doc_id, lang, source, COALESCE(text, '') AS text, regexp_extract_all(COALESCE(text, ''), '{_WORD}') AS words FROM documents),
@@ -75,18 +76,21 @@ st AS (
          CAST(length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(COALESCE(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM w JOIN lines USING (row) LEFT JOIN rep USING (row)),
-f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM st),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM st),
 v AS ({" UNION ALL ".join(f"SELECT row, lang, source, base_failed, '{m}' AS metric, CAST({e} AS BIGINT) AS value FROM f" for m, e in _METRICS.items())}),
 place AS (SELECT COALESCE(lang, chr(1)) AS lang, COALESCE(source, chr(1)) AS source, metric, value - value % (1::BIGINT << greatest(length(bin(value)) - 7, 0)) AS place FROM v WHERE NOT base_failed),
 {_fence("lang, source", "q_source")},
 {_fence("lang", "q_lang")},
 {_fence("", "q_all")},
 pick AS (
-  SELECT v.row, v.metric, v.value, CASE WHEN s.docs >= {ENOUGH} THEN s.q1 WHEN l.docs >= {ENOUGH} THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN s.docs >= {ENOUGH} THEN s.q2 WHEN l.docs >= {ENOUGH} THEN l.q2 ELSE a.q2 END AS q2
+  SELECT v.row, v.metric, v.value, CASE WHEN s.docs IS NULL THEN NULL WHEN s.docs >= 50 THEN 'source' WHEN l.docs >= 50 THEN 'language' ELSE 'all' END AS sketch,
+         CASE WHEN s.docs >= 50 THEN {{p: s.q25, q: s.q50, r: s.q75, t: s.q97, u: s.q99}} WHEN l.docs >= 50 THEN {{p: l.q25, q: l.q50, r: l.q75, t: l.q97, u: l.q99}} ELSE {{p: a.q25, q: a.q50, r: a.q75, t: a.q97, u: a.q99}} END AS z
   FROM v LEFT JOIN q_source s ON s.lang = COALESCE(v.lang, chr(1)) AND s.source = COALESCE(v.source, chr(1)) AND s.metric = v.metric
   LEFT JOIN q_lang l ON l.lang = COALESCE(v.lang, chr(1)) AND l.metric = v.metric LEFT JOIN q_all a ON a.metric = v.metric),
-inside AS (SELECT row, bool_and(COALESCE(value <= q2 + reach AND (metric NOT IN ({_BELOW}) OR value >= q2 - reach), TRUE)) AS ok FROM (SELECT *, CASE metric {_LIMITS} END AS reach FROM pick) t GROUP BY row)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept FROM f JOIN inside USING (row)
+inside AS (
+  SELECT row, MAX(sketch) AS sketch, bool_and(COALESCE(CASE metric WHEN 'word_length' THEN value BETWEEN z.q - 10 * ({_end("z.r")} - z.p) AND {_end("z.q")} + 10 * ({_end("z.r")} - z.p) WHEN 'symbols' THEN value <= {_end("z.t")} ELSE value <= {_end("z.u")} END, TRUE)) AS ok
+  FROM pick GROUP BY row)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept, inside.sketch FROM f JOIN inside USING (row)
 """
 
 OP9 = """

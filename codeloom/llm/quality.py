@@ -8,9 +8,11 @@ power of two, a relative error of 1/64, and sketches merge by adding counts.
 Sources with few documents use the merged sketch of their language, languages
 with few that of all.
 
-The fence of a metric is its median plus a multiple of the distance from the
-first quartile to the median, and at least a margin; the lower half of the
-values sets it, so junk of up to half of the documents doesn't move it.
+No fence has a fixed cutoff. Word length has a narrow middle, so its fences are
+the median plus and minus a multiple of the distance between the quartiles.
+Symbols and repeated lines are 0 in most documents, so their quartiles say
+nothing; their fence is an upper quantile, beyond which a small share of each
+group lies. A fence reaches to the end of its place, the sketch's resolution.
 """
 
 from __future__ import annotations
@@ -24,18 +26,25 @@ from .shared import stage
 WINDOW = 5
 #: Base rules: fewer words than this, or more than this percentage of words in repeated windows.
 LEAST_WORDS, REPEAT_PERCENT = 10, 20
-#: Metric: (spreads above the median, least margin, whether there is a fence below too).
-FENCES = {"symbols": (8, 50, False), "word_length": (12, 200, True), "repeated_lines": (8, 400, False)}
+#: Metrics whose fence is this percentile of the group; larger values fail.
+TAILS = {"symbols": 97, "repeated_lines": 99}
+#: Metrics whose fences are so many distances between the quartiles away from the median.
+SPREADS = {"word_length": 10}
+METRICS = (*TAILS, *SPREADS)
 #: Documents that a sketch needs before it is used.
 ENOUGH = 50
 SIGNIFICANT_BITS = 7
 
 
+def _unit(v: Column) -> Column:
+    """How many values share the place of ``v`` >= 0: the sketch's resolution there."""
+    drop = F.greatest(F.length(F.bin(v)) - SIGNIFICANT_BITS, F.lit(0))
+    return F.pow(F.lit(2.0), drop).cast("long")
+
+
 def _rounded(v: Column) -> Column:
     """``v`` >= 0 rounded down to its leading bits."""
-    drop = F.greatest(F.length(F.bin(v)) - SIGNIFICANT_BITS, F.lit(0))
-    unit = F.pow(F.lit(2.0), drop).cast("long")
-    return v - v % unit
+    return v - v % _unit(v)
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
@@ -95,31 +104,26 @@ def fences(parts: DataFrame, *keys: str) -> DataFrame:
     order = Window.partitionBy(*keys, "metric").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys, "metric")
     ranked = parts.withColumn("upto", F.sum("n").over(order)).withColumn("docs", F.sum("n").over(whole))
-    quantile = lambda p: F.min(F.when(4 * F.col("upto") >= p * F.col("docs"), F.col("place")))
-    flat = ranked.groupBy(*keys, "metric").agg(F.max("docs").alias("docs"), quantile(1).alias("q1"), quantile(2).alias("q2"))
+    quantile = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("docs"), F.col("place")))
+    asked = sorted({25, 50, 75, *TAILS.values()})
+    flat = ranked.groupBy(*keys, "metric").agg(F.max("docs").alias("docs"), *(quantile(p).alias(f"q{p}") for p in asked))
     columns = [F.max("docs").alias("docs")]
-    for name, (times, margin, below) in FENCES.items():
-        reach = F.greatest(times * (F.col("q2") - F.col("q1")), F.lit(margin))
-        pick = lambda c, name=name: F.max(F.when(F.col("metric") == name, c))
-        columns.append(pick(F.col("q2") + reach).alias(f"{name}_high"))
-        columns.append(pick(F.col("q2") - reach if below else F.lit(-1).cast("long")).alias(f"{name}_low"))
+    pick = lambda name, c: F.max(F.when(F.col("metric") == name, c))
+    end = lambda c: F.col(c) + _unit(F.col(c)) - 1
+    for name in METRICS:
+        reach = SPREADS.get(name, 0) * (end("q75") - F.col("q25"))
+        high, low = (end(f"q{TAILS[name]}"), F.lit(0)) if name in TAILS else (end("q50") + reach, F.col("q50") - reach)
+        columns += [pick(name, high).alias(f"{name}_high"), pick(name, low.cast("long")).alias(f"{name}_low")]
     return flat.groupBy(*keys).agg(*columns) if keys else flat.agg(*columns)
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, lang, source): counts, base_failed, kept.
+def fenced(parts: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """g_lang, g_source, sketch and the fences of each language and source that has documents which pass the base rules.
 
-    A document is kept when it passes the base rules and each metric lies
-    within the fences of its language and source. Null text: no words, fails.
-    Null language or source: a group of its own. Repeated rows count as many
-    times as they are there. An empty table gives no rows; other columns are
-    ignored.
+    ``sketch`` names the merged sketch used: source, language or all.
     """
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    stats = stage(text_stats(docs).withColumn("base_failed", failed), "stats")
-    parts = stage(sketches(stats), "sketches")
     by_source, by_lang, by_all = fences(parts, "lang", "source"), fences(merged(parts, "lang"), "lang"), fences(merged(parts))
-    names = [f"{m}_{side}" for m in FENCES for side in ("high", "low")]
+    names = [f"{m}_{side}" for m in METRICS for side in ("high", "low")]
     renamed = lambda df, tag: df.select(*(c for c in df.columns if c in ("lang", "source")), *(F.col(c).alias(f"{tag}_{c}") for c in ("docs", *names)))
     groups = renamed(by_source, "s").withColumnRenamed("lang", "g_lang").withColumnRenamed("source", "g_source")
     langs = renamed(by_lang, "l").withColumnRenamed("lang", "l_lang")
@@ -127,10 +131,27 @@ def quality(docs: DataFrame) -> DataFrame:
     every = by_all.select(*(F.col(c).alias(f"a_{c}") for c in names))
     # One row on the right.
     groups = groups.join(F.broadcast(every), F.lit(True), "left")
-    pick = lambda c: F.when(F.col("s_docs") >= ENOUGH, F.col(f"s_{c}")).when(F.col("l_docs") >= ENOUGH, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    groups = stage(groups.select("g_lang", "g_source", *(pick(c).alias(c) for c in names)), "fences")
+    level = lambda s, l, a: F.when(F.col("s_docs") >= enough, s).when(F.col("l_docs") >= enough, l).otherwise(a)  # noqa: E731, E741
+    picked = [level(F.col(f"s_{c}"), F.col(f"l_{c}"), F.col(f"a_{c}")).alias(c) for c in names]
+    return groups.select("g_lang", "g_source", level(F.lit("source"), F.lit("language"), F.lit("all")).alias("sketch"), *picked)
+
+
+def quality(docs: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, lang, source): counts, base_failed, kept, sketch.
+
+    A document is kept when it passes the base rules and each metric lies
+    within the fences of its language and source; ``sketch`` says whose sketch
+    set them (source, language or all; one of fewer than ``enough`` documents
+    gives way to the next), null where no document of the language and source
+    passes the base rules. Null text: no words, fails. Null language or source:
+    a group of its own. Repeated rows count as many times as they are there. An
+    empty table gives no rows; other columns are ignored.
+    """
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    stats = stage(text_stats(docs).withColumn("base_failed", failed), "stats")
+    groups = stage(fenced(stage(sketches(stats), "sketches"), enough), "fences")
     joined = stats.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     inside = F.lit(True)
     for name, value in _metrics().items():
         inside = inside & F.coalesce(value.between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(True))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), "sketch")

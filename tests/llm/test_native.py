@@ -7,7 +7,7 @@ from codeloom.llm import pii
 from codeloom.llm.chat import chain, digests, formatted
 from codeloom.llm.mixing import mixed, one_period, schedule, shares
 from codeloom.llm.numbering import numbered
-from codeloom.llm.quality import FENCES, quality
+from codeloom.llm.quality import fenced, quality, sketches, text_stats
 from codeloom.llm.sharding import sharded
 from helpers import BLANK, ODD, docs
 
@@ -116,21 +116,28 @@ def plain_quality(rows):
                 groups[key].append(metrics(s))
     out = []
     for s, f in zip(stats, failed, strict=True):
-        group = next((groups[k] for k in ((s[6], s[7]), (s[6],)) if len(groups[k]) >= 50), groups[()])
+        level, group = next(((n, groups[k]) for n, k in (("source", (s[6], s[7])), ("language", (s[6],))) if len(groups[k]) >= 50), ("all", groups[()]))
+        level = level if groups[(s[6], s[7])] else None
         good = not f
-        for name, (times, margin, below) in FENCES.items():
+
+        def place(name, percent, group=group):
+            """The sketch's place of a percentile, and the last value of that place."""
             values = sorted(rounded(m[name]) for m in group)
-            if values and good:
-                q1, q2 = values[-(-len(values) // 4) - 1], values[-(-len(values) // 2) - 1]
-                reach = max(times * (q2 - q1), margin)
-                good = (q2 - reach if below else -1) <= metrics(s)[name] <= q2 + reach
-        out.append((s[0], *s[1:6], f, good))
+            v = values[-(-percent * len(values) // 100) - 1]
+            return v, v + (1 << max(v.bit_length() - 7, 0)) - 1
+
+        if good:
+            m = metrics(s)
+            (low, _), (mid, mid_end), (_, high_end) = (place("word_length", p) for p in (25, 50, 75))
+            reach = 10 * (high_end - low)
+            good = m["symbols"] <= place("symbols", 97)[1] and m["repeated_lines"] <= place("repeated_lines", 99)[1] and mid - reach <= m["word_length"] <= mid_end + reach
+        out.append((s[0], *s[1:6], f, good, level))
     return out
 
 
 def test_quality_agrees_with_sorted_values(spark):
     rows = []
-    for i in range(400):
+    for i in range(500):
         lang, source = ("en", "de", None)[i % 3], ("a", "b", None, "rare")[min(i % 7, 3) if i > 20 else 3]
         text = " ".join(f"word{(i * k) % 97}x" + ("#$%" if i % 11 == 0 else "") for k in range(5 + i % 60))
         if i % 13 == 0:
@@ -138,10 +145,19 @@ def test_quality_agrees_with_sorted_values(spark):
         rows.append((i, text, lang, source))
     rows += [(i, t, "en", "a") for i, t in ODD]
     key = lambda r: tuple((x is None, x) for x in r)
-    out = [tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")) for r in quality(docs(spark, rows, extra=True)).collect()]
+    out = [tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "sketch")) for r in quality(docs(spark, rows, extra=True)).collect()]
     assert sorted(out, key=key) == sorted(plain_quality(rows), key=key)
 
 
+def test_fences_follow_their_groups(spark):
+    """Two sources of one language with other habits have other fences, and none is a constant."""
+    rows = [(i, " ".join(f"{'long' * (1 + i % 3) if i % 2 else 'ab'}{k}x" + "#" * (k < i % 9 * (i % 2)) for k in range(40)), "en", "b" if i % 2 else "a") for i in range(400)]
+    fences = {r.g_source: r for r in fenced(sketches(text_stats(docs(spark, rows)).selectExpr("*", "false as base_failed"))).collect()}
+    assert fences["a"].symbols_high == 0 < fences["b"].symbols_high
+    assert fences["a"].word_length_high < fences["b"].word_length_low or fences["a"].word_length_high != fences["b"].word_length_high
+    assert {r.sketch for r in fences.values()} == {"source"}
+
+
 def test_quality_empty_table(spark):
     assert quality(docs(spark, [])).count() == 0
 
