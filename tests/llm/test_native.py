@@ -9,6 +9,7 @@ from codeloom.llm.mixing import mixed, one_period, schedule, shares
 from codeloom.llm.numbering import numbered
 from codeloom.llm.quality import fenced, quality, sketches, text_stats
 from codeloom.llm.sharding import sharded
+from codeloom.llm.shared import stage
 from helpers import BLANK, ODD, docs
 
 # The base patterns as stated.
@@ -31,12 +32,14 @@ def base_spans(text):
             return 13 <= len(digits) <= 19 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
         return True
 
-    return [f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() for m in re.finditer(p, text or "") if good(k, m.group())]
+    # Without the sign that a pattern needs, its plain search would only take quadratic time.
+    needs = {"email": "@", "ip": ".", "phone": "+"}
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() if needs.get(k, "") in (text or "") for m in re.finditer(p, text or "") if good(k, m.group())]
 
 
 TRICKY = [
     (20, "a@b.c@d.e_f@g.hé 1.2.3.4.5.6.7.8 😀 x@y.zz +1 (2) 3-4567890 +12 4111 1111 1111 1111 a@@b.c 1.2.3.256 0001.2.3.4"),
-    (21, "9" * 30_000 + " " + "x" * 50_000 + "@ " + "1.2.3.4" * 500), (22, "+1 2 3 4 5 6 7 8 9 0 (1) +12345678 +1234567890123456 +1.........2"),
+    (21, "9" * 5_000 + " " + "x" * 5_000 + "@ " + "1.2.3.4" * 500), (22, "+1 2 3 4 5 6 7 8 9 0 (1) +12345678 +1234567890123456 +1.........2"),
     (23, "4111-1111-1111-1111 4111 1111 1111 1111"), (24, "4111-1111-1111-1111, 378282246310005"), (25, "a.b@c-d.e.f.; @x.y u%+-@1.2"),
 ]
 
@@ -66,10 +69,41 @@ def test_trees_add_look_alikes_and_spare_others(spark):
     assert kinds == {1: [pii.KINDS.index("phone")], 2: []}
 
 
+def added(spark, rows, model):
+    """Texts of the spans that the trees add, by doc_id."""
+    base = {i: {tuple(map(int, x.split(":")[1:])) for x in base_spans(t)} for i, t in rows}
+    out = pii.spans(docs(spark, rows).select("doc_id", "text"), model).collect()
+    return {r.doc_id: [(pii.KINDS[x.k], r.text[x.s : x.e]) for x in r.pii_all if (x.s, x.e) not in base[r.doc_id]] for r in out}
+
+
+def test_forms_without_labels_in_the_sample_are_no_counter_examples(spark):
+    """Three times as many addresses spelt out as written plainly: they are still found, and so is what base rules swallow."""
+    rows = [(i, f"{'mail' if i % 2 else 'write'} jo{i}@site{i % 7}.example.org now") for i in range(100)] + [(1000 + i, f"{'mail' if i % 2 else 'write'} jo{i} (at) site{i % 7} (dot) example (dot) org now") for i in range(300)]
+    rows += [(2000 + i, f"card 4111 1111 1111 {1111 if i % 2 else 1112} paid, host 10.0.{i}.1 up, ring +1 (300) 555-{1000 + i} soon, token deadbeef{i}12345678") for i in range(120)]
+    model = pii.fit(docs(spark, rows))
+    assert set(model.thresholds) == set(pii.KINDS)
+    probe = [
+        (1, "to ann (at) mail3 (dot) example (dot) com today"), (2, "pay 4111111111111111 4012888888881881 and 4111111111111112 x"),
+        (3, "ring (743) 555-3824 or +1 (743) 555-3824 4111111111111111 ok"), (4, "lot abc4111111111111111 and deadbeef7435553824"), (5, "host 10[.]0[.]7[.]9 or 300[.]1[.]1[.]1 up"), (6, None), (7, "none"),
+    ]
+    got = added(spark, probe, model)
+    assert got[1] == [("email", "ann (at) mail3 (dot) example (dot) com")]
+    assert got[2] == [("card", "4111111111111111"), ("card", "4012888888881881")]
+    assert got[3] == [("card", "4111111111111111"), ("phone", "(743) 555-3824"), ("phone", "+1 (743) 555-3824")]
+    assert got[4] == [] and got[5] == [("ip", "10[.]0[.]7[.]9")] and got[6] == got[7] == []
+
+
+def test_thresholds_count_all_documents_but_the_sample(spark):
+    counts = [(990, pii.POSITIVE, 500), (600, pii.POSITIVE, 500), (600, pii.NEGATIVE, 1), (300, pii.NEGATIVE, 40), (300, pii.POSITIVE, 5)]
+    assert pii._threshold("ip", counts, pii.Limits()) == {"ip": max(0.301, (990 * 500 + 600 * 500 + 300 * 5) / 1005 / 1000 / 2)}
+    assert pii._threshold("ip", [(900, pii.NEGATIVE, 5)], pii.Limits()) == {}
+    assert pii._threshold("ip", [(900, pii.POSITIVE, 1)], pii.Limits()) == {"ip": 0.45}
+
+
 def test_redaction_leaves_nothing_and_keeps_other_columns(spark):
     rows = ODD + TRICKY
     df = docs(spark, rows, extra=True)
-    out = pii.redacted(df)
+    out = stage(pii.redacted(df), "redacted")
     assert out.columns == df.columns
     texts = [r.text for r in out.where("doc_id is not null").collect()]
     assert not any(base_spans(t) for t in texts)
