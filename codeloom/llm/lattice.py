@@ -181,19 +181,26 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     label or vec_id, and a vector that is null, empty, zero, or has null or
     non-finite components, is linked with nothing: n_links 0, component_id its
     vec_id, kept. So are vectors of different lengths with each other. Rows
-    that share a vec_id count as one vector of all their embeddings. An empty
-    table gives no rows; other columns are ignored.
+    that repeat a vec_id and its vector are one vector. Different vectors of
+    one vec_id are vectors of their own, each with its own n_links, in one
+    component. An empty table gives no rows; other columns are ignored.
     """
     small_batches(vectors.sparkSession, 2000)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)))
-    key = usable.select("vec_id", "label", F.xxhash64("embedding").alias("low"), F.xxhash64("embedding", F.lit(1)).alias("high"))
-    key = stage(key.distinct(), "keys")
-    sets = stage(key.groupBy("label", "low", "high").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "sets")
-    named = stage(key.join(sets, ["label", "low", "high"]).select("vec_id", "rep"), "named")
-    whole = usable.join(sets.select(F.col("rep").alias("vec_id")).distinct(), "vec_id", "left_semi").groupBy(F.col("vec_id").alias("rep"), "label").agg(F.first("embedding").alias("embedding"))
-    whole = stage(whole, "whole")
+    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(fine, F.lit(False))
+    # Two independent hashes: the second doesn't go on from the first, as it begins with another value.
+    key = ["label", "low", "high"]
+    hashed = rows.select("vec_id", "label", F.when(usable, F.xxhash64("embedding")).alias("low"), F.when(usable, F.xxhash64(F.lit(1), "embedding")).alias("high"))
+    keyed = stage(hashed, "keyed")
+    named = keyed.where("low is not null").distinct()
+    # A set is a label and a vector; its number is fixed once written.
+    sets = named.groupBy(*key).agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id())
+    sets = stage(sets, "sets")
+    named = stage(named.join(sets.select(*key, "rep"), key), "named")
+    firsts = sets.select("rep", *key, F.col("first").alias("vec_id"))
+    whole = rows.where(usable).withColumns({"low": F.xxhash64("embedding"), "high": F.xxhash64(F.lit(1), "embedding")}).join(firsts, ["vec_id", *key])
+    whole = stage(whole.select("rep", "label", "embedding").dropDuplicates(["rep"]), "whole")
     placed = whole.select("rep", "label", "embedding").mapInArrow(_placed, "cell long, tab int, own boolean, rep long, marks binary")
     placed = stage(placed, "placed")
     shared = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own").select("cell", F.ceil(F.col("n") / BLOCK).alias("blocks"))
@@ -205,15 +212,17 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     one = whole.select(F.col("rep").alias("u"), "embedding")
     two = whole.select(F.col("rep").alias("v"), F.col("embedding").alias("other"))
     links = stage(pairs.join(one, "u").join(two, "v").select("u", "v", "embedding", "other").mapInArrow(_close, "u long, v long"), "links")
-    weights = sets.groupBy("rep").agg(F.sum("weight").alias("weight"))
+    weights = sets.select("rep", "weight")
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     counted = both.join(weights.withColumnRenamed("rep", "v"), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("weight").alias("linked"))
-    ties = named.where("vec_id <> rep").select(F.col("vec_id").alias("u"), F.col("rep").alias("v"))
+    # Sets that share a vec_id are tied through the first of them.
+    several = named.groupBy("vec_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).where("u <> last").select("vec_id", "u")
+    ties = named.join(several, "vec_id").select("u", F.col("rep").alias("v")).where("u <> v")
     classes = components(links.unionByName(ties))
-    per_rep = weights.join(counted, "rep", "left").select("rep", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    result = named.join(stage(per_rep, "per_rep"), "rep").groupBy("vec_id").agg(F.max("n_links").alias("n_links"))
-    result = result.join(classes.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    result = stage(result.withColumnRenamed("vec_id", "r_id"), "result")
-    out = rows.select("vec_id").join(result, F.col("vec_id") == F.col("r_id"), "left")
-    component = F.coalesce("root", "vec_id")
+    rooted = stage(sets.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "first", "weight", F.coalesce("root", "rep").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    per_set = rooted.join(least, "root").join(counted, "rep", "left").select("rep", "component_id", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    result = stage(named.join(stage(per_set, "per_set"), "rep").select("vec_id", *key, "n_links", "component_id"), "result")
+    out = keyed.join(result, ["vec_id", *key], "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

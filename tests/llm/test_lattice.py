@@ -55,6 +55,14 @@ def test_odd_rows(spark):
         assert r.kept == (r.component_id == r.vec_id or r.vec_id is None)
 
 
+def test_several_vectors_of_one_id_keep_all_their_links(spark):
+    a, b = np.eye(8)[0], np.eye(8)[1]
+    near = lambda v: (v + 0.01 * np.eye(8)[7]).tolist()
+    rows = [(7, a.tolist(), 1), (7, b.tolist(), 1), (8, near(a), 1), (9, near(b), 1), (6, np.eye(8)[2].tolist(), 1)]
+    out = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert out == [(6, 0, 6, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False)]
+
+
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
