@@ -31,15 +31,15 @@ def two_way_cycles(facts: Facts) -> DataFrame:
     return rows.select(F.col("from_file").alias("file1"), F.col("to_file").alias("file2"))
 
 
-def cyclic_edges(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def cyclic_edges(edges: DataFrame) -> DataFrame:
     """The (from_id, to_id) edges left after files that no edge enters, or none leaves, are removed again and again.
 
-    All edges of cycles stay. Each round is a pair of semi joins; a bound on the
-    rounds only leaves more edges than needed.
+    All edges of cycles stay. A round is a pair of semi joins that peels one
+    layer off the graph; there are as many rounds as layers outside of cycles.
     """
     edges = cut(edges.select("from_id", "to_id").distinct())
     count = edges.count()
-    for _ in range(rounds):
+    while count:
         entered = edges.select(F.col("to_id").alias("from_id")).distinct()
         left = edges.select(F.col("from_id").alias("to_id")).distinct()
         edges = cut(edges.join(entered, "from_id", "left_semi").join(left, "to_id", "left_semi"))
@@ -50,16 +50,25 @@ def cyclic_edges(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return edges
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """node, component: strongly connected components of (from_id, to_id) edges.
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: strongly connected components of (from_id, to_id) edges, named by their least node.
 
-    Colouring: each node takes the least id that reaches it, then of each
-    colour the nodes that reach back to its id within the colour are one
-    component and leave the graph; what is left goes round again.
+    Nodes that no edge enters, or none leaves, are components of their own and
+    are peeled off first. Then colouring: each node takes the least id that
+    reaches it; the nodes of a colour that reach back to its id are one
+    component and leave the graph. This goes on until no node is left: every
+    round takes at least one node of each colour.
     """
+    edges = cut(edges.select("from_id", "to_id").distinct())
     nodes = cut(edges.select(F.col("from_id").alias("node")).unionByName(edges.select(F.col("to_id").alias("node"))).distinct())
-    left, done = cut(edges.select("from_id", "to_id").distinct()), None
-    for _ in range(rounds):
+    done, left = nodes.limit(0).select("node", F.col("node").alias("component")), edges
+    while not nodes.isEmpty():
+        # What isn't in a cycle any more is alone.
+        left = cyclic_edges(left)
+        inner = left.select(F.col("from_id").alias("node")).distinct()
+        alone = nodes.join(inner, "node", "left_anti")
+        done = cut(done.unionByName(alone.select("node", F.col("node").alias("component"))))
+        nodes = cut(inner)
         if nodes.isEmpty():
             break
         colour = _spread(nodes.withColumn("colour", F.col("node")), left)
@@ -68,11 +77,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         seeds = colour.withColumn("mark", F.when(F.col("node") == F.col("colour"), F.col("node")).otherwise(F.lit(2**62)))
         reached = _spread(seeds.select("node", F.col("mark").alias("colour")), cut(back))
         found = cut(reached.where(F.col("colour") < 2**62).select("node", F.col("colour").alias("component")))
-        done = found if done is None else done.unionByName(found)
+        done = cut(done.unionByName(found))
         nodes = cut(nodes.join(found, "node", "left_anti"))
         gone = found.select("node")
         left = cut(left.join(gone.withColumnRenamed("node", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("node", "to_id"), "to_id", "left_anti"))
-    return done if done is not None else nodes.select("node", F.col("node").alias("component"))
+    return done
 
 
 def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:

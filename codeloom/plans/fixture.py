@@ -1,7 +1,13 @@
 """The index that the registered queries run on, derived from the driver's tables by SQL.
 
-Suppliers are documents, parts are symbols in groups of eight per file, line
-items are mentions. The same text runs in Spark and DuckDB.
+Suppliers are documents, parts are symbols in groups of eight per file, and
+every line item is a mention. Where it is and what role it has depends on the
+part: a third of the parts is only declared again in its own file, so that some
+symbols have no use; types of every fiftieth part are mentioned anywhere; the
+others have one to four files that follow the defining one, or two that come
+before it, so that the graph of files stays sparse and has cycles, however many
+line items there are. The same text runs in
+Spark and DuckDB.
 """
 
 from __future__ import annotations
@@ -58,9 +64,13 @@ ix_chunks AS (
   SELECT d.id * 4 + k.k AS id, d.id AS document_id, k.k AS chunk_index, k.k * 50 AS start_line, k.k * 50 + 49 AS end_line
   FROM ix_documents d CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k),
 ix_mentions AS (
-  SELECT l_suppkey * 4 + l_linenumber % 4 AS chunk_id, l_partkey AS symbol_id,
-         CASE l_returnflag WHEN 'A' THEN 2 ELSE 0 END AS role
-  FROM lineitem WHERE l_orderkey % 40 = 0 AND l_partkey % 3 <> 0
+  SELECT CASE WHEN y.p_partkey % 3 = 0 THEN y.document_id
+              WHEN y.p_partkey % 50 = 2 AND y.p_partkey % 8 = 2 THEN l_suppkey
+              WHEN y.p_partkey % 48 = 13 THEN GREATEST(y.document_id - 1 - l_suppkey % 2, 0)
+              ELSE LEAST(y.document_id + 1 + l_suppkey % (1 + y.p_partkey % 4), n - 1) END * 4 + l_linenumber % 4 AS chunk_id,
+         l_partkey AS symbol_id,
+         CASE WHEN y.p_partkey % 3 = 0 THEN 1 WHEN l_returnflag = 'A' THEN 2 ELSE 0 END AS role
+  FROM lineitem JOIN ix_parts y ON y.p_partkey = l_partkey CROSS JOIN ix_n
   UNION
   SELECT document_id * 4 + CAST((start_line - start_line % 50) / 50 AS BIGINT), symbol_id, 1 FROM ix_defs
   UNION

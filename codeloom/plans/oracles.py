@@ -140,7 +140,7 @@ _SELECTS: dict[str, str] = {
     "affected": "SELECT DISTINCT symbol_id, CAST(depth AS BIGINT) AS depth FROM k_reach WHERE depth > 0",
     "file_edges": "SELECT from_file, to_file FROM k_edge",
     "cycles_two_way": "SELECT a.from_file AS file1, a.to_file AS file2 FROM k_edge a JOIN k_edge b ON a.from_file = b.to_file AND a.to_file = b.from_file WHERE a.from_file < a.to_file AND NOT a.from_test AND NOT a.to_test",
-    "cycles_longer": "SELECT a.from_file || ' -> ' || a.to_file || ' -> ' || b.to_file AS cycle FROM k_edge a JOIN k_edge b ON b.from_file = a.to_file JOIN k_edge c ON c.from_file = b.to_file AND c.to_file = a.from_file WHERE a.from_file < a.to_file AND a.from_file < b.to_file AND a.to_file <> b.to_file AND NOT a.from_test AND NOT a.to_test AND NOT b.to_test",
+    "cycles_longer": "SELECT array_to_string(w.files, ' -> ') AS cycle FROM k_walk w JOIN k_step e ON e.from_file = w.last AND e.to_file = w.first WHERE len(w.files) > 2",
     "components": "SELECT n.node, LEAST(n.node, COALESCE((SELECT MIN(r.b) FROM k_path r JOIN k_path q ON q.a = r.b AND q.b = r.a WHERE r.a = n.node), n.node)) AS component FROM (SELECT from_id AS node FROM k_edge UNION SELECT to_id FROM k_edge) n",
     "symbol_scalars": "SELECT symbol_id, leaf, name AS short, kind, (symbol LIKE '%.' AND symbol NOT LIKE '%().' AND symbol NOT LIKE '%#typeLiteral%' AND symbol NOT LIKE '%).(%') AS is_variable, symbol LIKE '%).(%' AS is_parameter, (symbol NOT LIKE '%/' AND symbol NOT LIKE '%().' AND (symbol LIKE '%#typeLiteral%' OR seg LIKE '%#%')) AS is_type, (symbol LIKE '%().' OR (symbol NOT LIKE '%#%' AND symbol NOT LIKE '%/')) AS is_runtime_edge, alias_base, value_base, path AS file_path FROM k_sym JOIN k_named USING (symbol_id)",
     "path_scalars": f"SELECT path, is_test, (path LIKE '%/types/prisma/%' OR path LIKE '%types/resolvers.ts') AS is_generated, (path = {_quote(FOLDER)} OR starts_with(path, {_quote(FOLDER + '/')})) AS in_scope FROM k_doc",
@@ -182,6 +182,7 @@ _SELECTS["member_lines"] = _SELECTS["members"]
 
 _EXTRA = {
     "affected": "k_hub AS (SELECT symbol_id FROM k_cons ORDER BY consumers DESC, symbol_id LIMIT 1), k_reach(symbol_id, depth) AS (SELECT symbol_id, 0 FROM k_hub UNION SELECT d.symbol_id, r.depth + 1 FROM k_reach r JOIN k_use u ON u.symbol_id = r.symbol_id AND u.role <> 1 JOIN k_def d ON d.doc_id = u.doc_id WHERE r.depth < 5 AND d.symbol_id <> r.symbol_id)",
+    "cycles_longer": "k_step AS (SELECT from_file, to_file FROM k_edge WHERE NOT from_test AND NOT to_test), k_walk(first, last, files) AS (SELECT from_file, to_file, [from_file, to_file] FROM k_step WHERE from_file < to_file UNION ALL SELECT w.first, e.to_file, list_append(w.files, e.to_file) FROM k_walk w JOIN k_step e ON e.from_file = w.last WHERE len(w.files) < 8 AND e.to_file > w.first AND NOT list_contains(w.files, e.to_file))",
     "components": "k_path(a, b) AS (SELECT from_id, to_id FROM k_edge UNION SELECT p.a, e.to_id FROM k_path p JOIN k_edge e ON e.from_id = p.b)",
     "symbol_scalars": _PATH_OF, "document_path": _PATH_OF, "search": _PATH_OF,
     "refs_lines": _LINES, "code_body": _LINES, "fallback_def": _LINES + ", " + _PATH_OF,

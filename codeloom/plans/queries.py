@@ -72,7 +72,7 @@ def affected(f: Facts) -> DataFrame:
 
 
 def cycles_longer(f: Facts) -> DataFrame:
-    return graph.longer_cycles(f, 3).select(F.array_join("files", " -> ").alias("cycle"))
+    return graph.longer_cycles(f).select(F.array_join("files", " -> ").alias("cycle"))
 
 
 def components(f: Facts) -> DataFrame:
