@@ -5,12 +5,15 @@ prefixes of 3 to 8 bytes, so that inflected forms share what is learnt of their
 stem. Hashes that occur in several texts of the training sample have an
 embedding (found by hash place, checked by a fingerprint), all others are zero. Filters of widths 1, 2 and 3 run over the
 whole text, each is max-pooled, and a logistic layer on the pooled values gives
-the score, which is then calibrated on rows kept back from training. A
-threshold for each language is calibrated on the same rows.
+the score, which is then calibrated on sample rows kept back from training.
 
 The sample is bounded by ``Limits``: so many labelled texts of each class,
 picked by a hash of their id among rows outside the held-out fold. A sample
 text may have up to ``sample_chars`` characters; what is scored has no limit.
+The threshold of a language is calibrated on all its labelled rows outside the
+held-out fold that the classifier wasn't trained on, of any length, by counts
+of their scores. The counts of all languages together have a small weight in
+each, so that one with few labelled rows leans on them.
 """
 
 from __future__ import annotations
@@ -45,7 +48,9 @@ class Limits:
     least_steps: int = 800
     batch: int = 64
     rate: float = 0.02
-    kept_back: float = 0.2
+    kept_back: int = 5
+    places: int = 1000
+    pooled_rows: float = 10.0
 
 
 @dataclass
@@ -60,7 +65,6 @@ class Model:
     out: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     scale: float = 1.0
     shift: float = 0.0
-    thresholds: dict = field(default_factory=dict)
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         slot = self.slots[(hashes >> _U(64 - TABLE_BITS)).astype(np.int64)]
@@ -72,21 +76,29 @@ def fold(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS, F.lit(1))
 
 
-def sample(docs: DataFrame, labels: DataFrame, limits: Limits) -> list:
-    """At most ``2 * per_class`` rows (toxic, lang, text) for training."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold() != 0)
-    known = stage(known, "known")
-    picked = None
-    for label in (0, 1):
-        some = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limits.per_class)
-        picked = some if picked is None else picked.unionByName(some)
-    picked = stage(picked, "picked")
+def _kept_back(limits: Limits) -> Column:
+    """Whether a labelled row is for calibration even if the sample holds it: one in ``kept_back``."""
+    return F.pmod(F.xxhash64("doc_id", F.lit("back")), F.lit(limits.kept_back)) == 0
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): one row for each labelled document outside the held-out fold."""
+    return stage(labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(fold() != 0), "known")
+
+
+def picked_ids(known: DataFrame, limits: Limits) -> DataFrame:
+    """The labelled documents of the sample, at most ``per_class`` of each class."""
+    some = [known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limits.per_class) for label in (0, 1)]
+    return stage(some[0].unionByName(some[1]), "picked")
+
+
+def sample(docs: DataFrame, picked: DataFrame, limits: Limits) -> list:
+    """At most ``2 * per_class`` rows (toxic, text, kept back) for training."""
+    small_batches(docs.sparkSession)
     # Bounded: at most 2 * per_class rows of two integers.
-    rows = docs.where(F.length("text") <= limits.sample_chars).join(F.broadcast(picked), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    rows = docs.where(F.length("text") <= limits.sample_chars).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text", _kept_back(limits).alias("back"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * limits.per_class)
-    return [(r["toxic"], r["lang"], r["text"]) for r in rows.select("toxic", "lang", "text").collect()]
+    return [(r["toxic"], r["text"], r["back"]) for r in rows.select("toxic", "text", "back").collect()]
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -119,10 +131,16 @@ def _vocabulary(words: np.ndarray, texts: list[np.ndarray], least: int) -> tuple
 
 
 def _flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of several texts, raised by one, with zeros between, and where each begins: no window reaches the next text."""
+    """Word numbers of several texts, raised by one, with zeros before each and at the end, and where each begins with its zeros.
+
+    A window that begins in the zeros before a text covers these and its first
+    words, one that begins at its last words the zeros that follow: none
+    reaches another text.
+    """
     gap = np.zeros(max(WIDTHS), np.int32)
     starts = np.cumsum([0] + [len(t) + len(gap) for t in texts])
-    return np.concatenate([x for t in texts for x in (t + 1, gap)]), starts
+    starts[-1] += len(gap)
+    return np.concatenate([x for t in texts for x in (gap, t + 1)] + [gap]), starts
 
 
 def _pooled(x: np.ndarray, filters: list, flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -146,7 +164,7 @@ def _logits(model: Model, words: np.ndarray, texts: list[np.ndarray]) -> np.ndar
 
 
 def train(rows: list, limits: Limits = Limits(), seed: int = 7) -> Model:
-    """Fit embeddings, filters and the output layer by Adam on (toxic, lang, words) rows, then calibrate."""
+    """Fit embeddings, filters and the output layer by Adam on (toxic, text, kept back) rows, then calibrate on those kept back."""
     rng = np.random.default_rng(seed)
     y = np.array([r[0] for r in rows], np.float32)
     model = Model()
@@ -156,9 +174,10 @@ def train(rows: list, limits: Limits = Limits(), seed: int = 7) -> Model:
         model.out = np.zeros(FILTERS * len(WIDTHS) + 1, np.float32)
         model.shift = float(4 if len(y) and y.mean() == 1 else -4)
         return model
-    words, texts = _words([r[2] for r in rows])
-    order = rng.permutation(len(rows))
-    back, use = order[: int(len(rows) * limits.kept_back)], order[int(len(rows) * limits.kept_back) :]
+    words, texts = _words([r[1] for r in rows])
+    aside = np.array([bool(r[2]) for r in rows])
+    use = np.flatnonzero(~aside) if not aside.all() else np.arange(len(rows))
+    back = np.flatnonzero(aside)
     model.slots, model.prints = _vocabulary(words, [texts[i] for i in use], limits.least_texts)
     features = np.concatenate((np.zeros((1, 1 + len(PREFIXES)), np.int64), model.lookup(words)))
     shapes = {"E": (len(model.prints), SIZE), "o": (FILTERS * len(WIDTHS) + 1,)} | {f"b{w}": (FILTERS,) for w in WIDTHS} | {f"W{w}": (w, SIZE, FILTERS) for w in WIDTHS}
@@ -178,7 +197,7 @@ def train(rows: list, limits: Limits = Limits(), seed: int = 7) -> Model:
                 p[k][where] -= limits.rate * (1 if k == "E" else 0.5) * (first[k][where] / (1 - 0.9**step)) / (np.sqrt(second[k][where] / (1 - 0.999**step)) + 1e-6)
     model.embedding, model.filters = p["E"], [list(p[f"W{w}"]) for w in WIDTHS]
     model.bias, model.out = [p[f"b{w}"] for w in WIDTHS], p["o"]
-    _calibrate(model, words, [texts[i] for i in back], y[back], [rows[i][1] for i in back])
+    _calibrate(model, words, [texts[i] for i in back], y[back])
     return model
 
 
@@ -220,8 +239,8 @@ def _gradients(p: dict, features: np.ndarray, texts: list[np.ndarray], y: np.nda
     return grads
 
 
-def _calibrate(model: Model, words: np.ndarray, texts: list, y: np.ndarray, langs: list[str]) -> None:
-    """Fit scale and shift of the logit by Newton steps with a prior toward the raw logit, then the threshold of each language."""
+def _calibrate(model: Model, words: np.ndarray, texts: list, y: np.ndarray) -> None:
+    """Fit scale and shift of the logit by Newton steps with a prior toward the raw logit."""
     z = np.concatenate([_logits(model, words, texts[i : i + 256]) for i in range(0, len(texts), 256)] or [np.zeros(0)]).astype(float)
     at = np.array([1.0, 0.0])
 
@@ -240,14 +259,27 @@ def _calibrate(model: Model, words: np.ndarray, texts: list, y: np.ndarray, lang
         at = at - move
     a, b = at
     model.scale, model.shift = float(max(a, 0.05)), float(b)
-    s = 1 / (1 + np.exp(-np.clip(model.scale * z + model.shift, -30, 30)))
-    for lang in set(langs):
-        own = np.array([x == lang for x in langs])
-        if y[own].sum() < 10 or (1 - y[own]).sum() < 10:
-            continue
-        tries = np.linspace(0.1, 0.9, 33)
-        f1 = np.array([2 * ((s[own] >= t) & (y[own] == 1)).sum() / max(1, (s[own] >= t).sum() + y[own].sum()) for t in tries])
-        model.thresholds[lang] = float(np.median(tries[f1 == f1.max()]))
+
+
+def thresholds(counts: list[tuple], limits: Limits = Limits()) -> dict[str, float]:
+    """The threshold of each language with the best F1, from (language, toxic, place of the score, rows) counts.
+
+    All languages' counts together weigh as much as ``pooled_rows`` rows in
+    each. Of several best thresholds it is the middle one.
+    """
+    tries = np.linspace(0.1, 0.9, 33)
+    every: dict[str, np.ndarray] = {}
+    for lang, toxic, place, n in counts:
+        every.setdefault(lang, np.zeros((2, len(tries) + 1)))[toxic, np.searchsorted(tries * limits.places, place + 0.5, side="right")] += n
+    pooled = sum(every.values(), np.zeros((2, len(tries) + 1)))
+    out = {}
+    for lang, own in every.items():
+        clean, toxic = own + pooled * (limits.pooled_rows / pooled.sum())
+        # Rows at or over each threshold.
+        caught, wrong = toxic[::-1].cumsum()[::-1][1:], clean[::-1].cumsum()[::-1][1:]
+        f1 = 2 * caught / np.maximum(caught + wrong + toxic.sum(), 1e-9)
+        out[lang] = float(np.median(tries[f1 >= f1.max() - 1e-9]))
+    return out
 
 
 def scores(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), extra: tuple[str, ...] = ()) -> DataFrame:
@@ -255,18 +287,22 @@ def scores(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), extra:
 
     ``flagged`` compares the score with the threshold of the row's language,
     ``predicted`` with 0.5. The score depends on the text alone. Null and empty
-    texts get the score of a text without words; an unknown or null language
-    has the threshold 0.5; rows that repeat get one row each; labels that are
-    null or neither 0 nor 1 are ignored. Without labels of both classes all
-    scores are the same. Empty tables give no rows; of other columns those named in ``extra``
-    are carried along.
+    texts get the score of a text without words; a language without labelled
+    rows has the threshold 0.5, a null one is a language of its own; rows that
+    repeat get one row each; labels that are null or neither 0 nor 1 are
+    ignored, of several the largest counts. Without labels of both classes all
+    scores are the same. Empty tables give no rows; of other columns those
+    named in ``extra`` are carried along.
     """
     spark = docs.sparkSession
     extra = tuple(c for c in extra if c != "doc_id")
     asked = F.struct("doc_id", *extra).alias("row")
-    own = docs.select(asked, F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    own = docs.select(asked, lang.alias("lang"), F.col("text").cast("string").alias("text"))
+    known = known_labels(labels)
+    picked = picked_ids(known, limits)
     # Plain arrays: workers need no class of this package to read them.
-    model = spark.sparkContext.broadcast(vars(train(sample(docs, labels, limits), limits)))
+    model = spark.sparkContext.broadcast(vars(train(sample(docs, picked, limits), limits)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**model.value)
@@ -276,13 +312,17 @@ def scores(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), extra:
                 texts = [inverse[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 z = np.clip(m.scale * _logits(m, hashes[first], texts).astype(float) + m.shift, -30, 30)
                 s = 1 / (1 + np.exp(-z))
-                n = len(s)
-                limit = np.array([m.thresholds.get(x, 0.5) for x in batch.column(1).slice(at, n).to_pylist()], float)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(limit), pa.array(s >= limit)],
-                    names=["row", "score", "predicted", "lang_threshold", "flagged"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(s)), batch.column(1).slice(at, len(s)), pa.array(s)], names=["row", "lang", "score"])
 
     kind = own.schema["row"].dataType.simpleString()
-    out = own.mapInArrow(score, f"row {kind}, score double, predicted int, lang_threshold double, flagged boolean")
-    return out.select("row.doc_id", (fold("row.doc_id") == 0).alias("held_out"), "score", "predicted", "lang_threshold", "flagged", *(f"row.{c}" for c in extra))
+    scored = stage(own.mapInArrow(score, f"row {kind}, lang string, score double"), "scored")
+    trained = picked.where(~_kept_back(limits)).select("doc_id")
+    rest = known.join(F.broadcast(trained), "doc_id", "left_anti")
+    place = F.floor(F.col("score") * limits.places)
+    counts = scored.select(F.col("row.doc_id").alias("doc_id"), "lang", place.alias("place")).join(rest, "doc_id").groupBy("lang", "toxic", "place").agg(F.count("*").alias("n"))
+    # Bounded: languages times two labels times ``places``.
+    found = thresholds([tuple(r) for r in counts.collect()], limits)
+    limit = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in found.items() for x in pair)), F.col("lang")), F.lit(0.5)) if found else F.lit(0.5)
+    out = scored.withColumn("lang_threshold", limit)
+    verdict = [(F.col("score") >= 0.5).cast("int").alias("predicted"), "lang_threshold", (F.col("score") >= F.col("lang_threshold")).alias("flagged")]
+    return out.select("row.doc_id", (fold("row.doc_id") == 0).alias("held_out"), "score", *verdict, *(f"row.{c}" for c in extra))

@@ -1,6 +1,9 @@
 import random
 
-from codeloom.llm.toxicity import Limits, scores, train
+import numpy as np
+
+from codeloom.llm import toxicity
+from codeloom.llm.toxicity import Limits, scores, thresholds, train
 from helpers import ODD, docs
 
 
@@ -51,6 +54,64 @@ def test_empty_tables(spark):
 
 
 def test_training_is_repeatable():
-    rows = [(t, "en", x) for (_, x, _, _), (_, t) in zip(*corpus(200), strict=True)]
+    rows = [(t, x, i % 5 == 0) for (i, x, _, _), (_, t) in zip(*corpus(200), strict=True)]
     a, b = train(rows, Limits(epochs=2)), train(rows, Limits(epochs=2))
     assert (a.embedding == b.embedding).all() and a.scale == b.scale
+
+
+def test_thresholds_have_the_best_f1_and_lean_on_all_languages():
+    many = [("en", 1, p, 40) for p in range(300, 1000, 10)] + [("en", 0, p, 40) for p in range(0, 290, 10)]
+    few = [("de", 1, 950, 1)]
+    found = thresholds([*many, *few])
+    assert 0.28 <= found["en"] <= 0.325 and 0.28 <= found["de"] <= 0.325
+    # A language with many rows of its own has its own threshold.
+    found = thresholds([*many, ("fr", 1, 900, 500), ("fr", 0, 600, 500)])
+    assert 0.28 <= found["en"] <= 0.325 and 0.6 < found["fr"] <= 0.9
+
+
+def test_a_score_depends_on_its_text_alone():
+    rows = [(t, x, i % 5 == 0) for (i, x, _, _), (_, t) in zip(*corpus(200), strict=True)]
+    model = train(rows, Limits(epochs=2))
+    words, texts = toxicity._words([r[1] for r in rows])
+    together = toxicity._logits(model, words, texts)
+    alone = np.concatenate([toxicity._logits(model, words, [t]) for t in texts])
+    assert np.allclose(together, alone, atol=1e-4)
+
+
+def plain_loss(p, features, texts, y):
+    """The log loss by loops over texts, filters and places."""
+    total = 0.0
+    for t, label in zip(texts, y, strict=True):
+        # Windows begin at each word and at the three places before the text.
+        x = [np.zeros(toxicity.SIZE)] * 3 + [p["E"][features[w + 1]].sum(axis=0) for w in t]
+        pooled = []
+        for w in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                best = max(sum(float(x[i + j] @ p[f"W{w}"][j][:, f]) for j in range(w) if i + j < len(x)) for i in range(len(x)))
+                pooled.append(max(best + p[f"b{w}"][f], 0.0))
+        z = float(np.dot(pooled, p["o"][:-1]) + p["o"][-1])
+        total += np.logaddexp(0, z) - label * z
+    return total / len(y) + 0.5e-4 * float((p["o"] ** 2).sum())
+
+
+def test_gradients_agree_with_differences_of_a_plain_loss():
+    r = np.random.default_rng(3)
+    words, columns = 12, 3
+    p = {"E": r.standard_normal((20, toxicity.SIZE)), "o": r.standard_normal(toxicity.FILTERS * 3 + 1)}
+    p |= {f"W{w}": r.standard_normal((w, toxicity.SIZE, toxicity.FILTERS)) for w in toxicity.WIDTHS} | {f"b{w}": r.standard_normal(toxicity.FILTERS) for w in toxicity.WIDTHS}
+    p["E"][0] = 0
+    features = np.concatenate((np.zeros((1, columns), np.int64), r.integers(0, 20, (words, columns))))
+    texts, y = [r.integers(0, words, n).astype(np.int32) for n in (1, 4, 9)], np.array([1.0, 0.0, 1.0])
+    grads = toxicity._gradients(p, features, texts, y)
+    whole = np.zeros_like(p["E"])
+    whole[grads["E"][0]] = grads["E"][1]
+    for name, g in (grads | {"E": whole}).items():
+        for at in [tuple(r.integers(0, n) for n in p[name].shape) for _ in range(8)]:
+            if name == "E" and at[0] == 0:
+                continue
+            moved = []
+            for step in (1e-5, -1e-5):
+                q = {k: v.copy() for k, v in p.items()}
+                q[name][at] += step
+                moved.append(plain_loss(q, features, texts, y))
+            assert abs((moved[0] - moved[1]) / 2e-5 - g[at]) < 1e-4, (name, at)
