@@ -12,8 +12,6 @@ from .symbols import short_name
 # Paths that the checks leave out.
 GENERATED_PART, GENERATED_END = "/types/prisma/", "types/resolvers.ts"
 CLI_FOLDER = "/commands/"
-STALE_TYPE_ENDS = ("config.py", "scope.py", "analyze/targets.py")
-DASHBOARD_ENDS = ("analyze/project.py", "analyze/file.py", "analyze/symbol.py")
 
 
 def _slashes(p: Column) -> Column:
@@ -40,11 +38,12 @@ def _ends(path: Column, ends: tuple[str, ...]) -> Column:
     return out
 
 
-def is_noise(path: Column, symbol: Column, include_tests: bool = False, main_file: str | None = None, dashboards: tuple[str, ...] = DASHBOARD_ENDS) -> Column:
+def is_noise(path: Column, symbol: Column, include_tests: bool = False, main_file: str | None = None, dashboards: tuple[str, ...] = ()) -> Column:
     """Rows that the checks leave out: tests, generated code, private names, entry points, dashboard functions.
 
     ``main_file`` is a path whose ``main`` counts as an entry point beside those
-    in command folders.
+    in command folders; functions in files that end as one of ``dashboards``
+    are called by a runner that the index doesn't see.
     """
     p, name = _slashes(path), short_name(symbol)
     entry = F.contains(p, F.lit(CLI_FOLDER)) if main_file is None else F.contains(p, F.lit(CLI_FOLDER)) | (p == main_file)
@@ -58,8 +57,9 @@ def is_props_type(symbol: Column) -> Column:
     return name.endswith("Props") & F.contains(F.substring_index(symbol, "/", -1), F.lit("#"))
 
 
-def is_stale_noise(path: Column, symbol: Column, consumers: Column) -> Column:
-    shape = short_name(symbol).rlike("^\\p{Lu}") & _ends(_slashes(path), STALE_TYPE_ENDS)
+def is_stale_noise(path: Column, symbol: Column, consumers: Column, ends: tuple[str, ...] = ()) -> Column:
+    """Props types, and capitalised names without consumers in files that end as one of ``ends``."""
+    shape = short_name(symbol).rlike("^\\p{Lu}") & _ends(_slashes(path), ends)
     return is_props_type(symbol) | ((consumers == 0) & shape)
 
 

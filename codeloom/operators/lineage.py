@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed below spark.checkpoint.dir; a local folder is set only where none is."""
+    """``df`` checkpointed below spark.checkpoint.dir; only a local session without one gets a folder of its own."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeloom-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not (context.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="codeloom-"))
     return df.checkpoint()

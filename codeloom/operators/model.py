@@ -53,22 +53,48 @@ def save(index: Index, path: str) -> None:
 
 
 def swap_in(index: Index, path: str) -> None:
-    """Write beside ``path`` and rename: readers see the old index or the new one. A build that fails leaves no half."""
+    """Write beside ``path`` and rename, under a lock file beside it: one build at a time, and none leaves a half.
+
+    The old index keeps its place until the new one is whole, and comes back
+    when the new one can't take it; between the two renames ``path`` is empty.
+    An old index that a stopped build left behind is put back first. RuntimeError
+    when another build holds the lock or a rename is refused.
+    """
     spark = index.documents.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    fresh, live, old = (jvm.org.apache.hadoop.fs.Path(path + tail) for tail in ("_next", "", "_old"))
+    fresh, live, old, lock = (jvm.org.apache.hadoop.fs.Path(path + tail) for tail in ("_next", "", "_old", "_lock"))
     fs = live.getFileSystem(conf)
+    if not fs.createNewFile(lock):
+        raise RuntimeError(f"another build holds {lock}")
+    try:
+        _swapped(index, path, fs, fresh, live, old)
+    finally:
+        fs.delete(fresh, True)
+        fs.delete(lock, False)
+
+
+def _swapped(index: Index, path: str, fs, fresh, live, old) -> None:
+    if not fs.exists(live) and fs.exists(old):
+        _renamed(fs, old, live)
     fs.delete(fresh, True)
+    save(index, path + "_next")
+    fs.delete(old, True)
+    had = fs.exists(live)
+    if had:
+        _renamed(fs, live, old)
     try:
-        save(index, path + "_next")
-        fs.delete(old, True)
-        if fs.exists(live):
-            fs.rename(live, old)
-        fs.rename(fresh, live)
-        fs.delete(old, True)
+        _renamed(fs, fresh, live)
     except Exception:
-        fs.delete(fresh, True)
+        if had:
+            _renamed(fs, old, live)
         raise
+    fs.delete(old, True)
+
+
+def _renamed(fs, source, target) -> None:
+    """Rename, which may answer false where it could raise."""
+    if not fs.rename(source, target):
+        raise RuntimeError(f"can't rename {source} to {target}")
 
 
 class Facts:

@@ -81,12 +81,26 @@ ix_mentions AS (
   SELECT ((p_partkey * 11 + 3) % n) * 4, 2000000 + p_partkey, 0 FROM ix_parts CROSS JOIN ix_n WHERE p_partkey % 32 = 4)
 """
 
+#: Source lines: texts of the driver's documents, in which lines of code stand where symbols are said to be. Fields have
+#: no range, so only a scan of the source finds them; calls stand in the lines that a chunk with a mention covers.
+CODE = """
+ix_code AS (
+  SELECT document_id, (p_partkey - 3) % 20 * 10 + p_partkey % 4 AS line_no, '  readonly field' || CAST(p_partkey AS STRING) || '?: number;' AS code
+  FROM ix_parts WHERE p_partkey % 8 = 3
+  UNION ALL
+  SELECT document_id, p_partkey % 20 * 10 AS line_no, 'export function func' || CAST(p_partkey AS STRING) || '(a) =>' AS code
+  FROM ix_parts WHERE p_partkey % 8 IN (4, 5, 6)
+  UNION ALL
+  SELECT document_id, (p_partkey * 7) % 200 AS line_no, '  func' || CAST(p_partkey AS STRING) || '(1);' AS code
+  FROM ix_parts WHERE p_partkey % 8 = 5)
+"""
+
 _CACHE: dict[tuple[int, str, str], Index] = {}
 
 
 def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "part", "lineitem")}
-    text = PRELUDE
+    text = f"{PRELUDE}, {CODE}"
     for table in tables:
         text = text.replace(f"FROM {table}", f"FROM {{{table}}}")
     return spark.sql(f"WITH {text} SELECT * FROM ix_{name}", **tables)
@@ -122,8 +136,13 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
 
 
 def with_source(spark: SparkSession, sf_dir: str) -> Facts:
-    """Facts whose source lines are the texts of the driver's documents, one for each index document."""
+    """Facts with source lines: 200 of each index document, or as many as the driver's document of its number has, with code among them."""
     base = index(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    lines = base.documents.join(docs, "id").select("relative_path", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    parts = F.split(F.coalesce("text", F.lit("")), "\n")
+    # Documents shorter than the index says have empty lines at the end.
+    padded = F.concat(parts, F.array_repeat(F.lit(""), F.greatest(F.lit(200) - F.size(parts), F.lit(0))))
+    text = base.documents.join(docs, "id").select(F.col("id").alias("document_id"), "relative_path", F.posexplode(padded).alias("line_no", "text"))
+    code = _derived(spark, sf_dir, "code").groupBy("document_id", "line_no").agg(F.min("code").alias("code"))
+    lines = text.join(code, ["document_id", "line_no"], "left").select("relative_path", "line_no", F.coalesce("code", "text").alias("text"))
     return Facts(Index(**base.tables(), source_lines=lines))

@@ -7,7 +7,7 @@ located mentions (k_use).
 
 from __future__ import annotations
 
-from .fixture import PRELUDE
+from .fixture import CODE, PRELUDE
 from .queries import FILES, FOLDER, NAMES, PATTERNS, ROOT
 
 _HELPERS = r"""
@@ -30,8 +30,7 @@ k_sym AS (
   FROM k_leaf),
 k_def AS (
   SELECT r.symbol_id, r.document_id AS doc_id, r.start_line, r.end_line, r.end_line - r.start_line + 1 AS loc, s.symbol, s.display_name, s.name, s.is_module, s.kind, s.value_base, d.path, d.is_test,
-         (d.path LIKE '%/types/prisma/%' OR d.path LIKE '%types/resolvers.ts' OR s.name LIKE '\_%' ESCAPE '\' OR (s.name = 'main' AND d.path LIKE '%/commands/%')
-          OR (regexp_matches(d.path, 'analyze/(project|file|symbol)\.py$') AND (s.symbol LIKE '%().%' OR s.name LIKE '%)'))) AS clutter
+         (d.path LIKE '%/types/prisma/%' OR d.path LIKE '%types/resolvers.ts' OR s.name LIKE '\_%' ESCAPE '\' OR (s.name = 'main' AND d.path LIKE '%/commands/%')) AS clutter
   FROM ix_defs r JOIN k_sym s ON s.symbol_id = r.symbol_id JOIN k_doc d ON d.doc_id = r.document_id),
 k_use AS (
   SELECT m.symbol_id, m.role, m.chunk_id, c.document_id AS doc_id, c.start_line AS c_start, c.end_line AS c_end FROM ix_mentions m JOIN ix_chunks c ON c.id = m.chunk_id),
@@ -109,9 +108,12 @@ _FIRST_RANGE = "(SELECT symbol_id, arg_min(document_id, id) AS doc_id, arg_min(s
 _CALLEE = "JOIN k_def d ON d.symbol_id = u.symbol_id JOIN k_sym s ON s.symbol_id = u.symbol_id"
 _NOT_VARIABLE = "NOT (symbol LIKE '%.' AND symbol NOT LIKE '%().' AND symbol NOT ILIKE '%#typeLiteral%' AND symbol NOT LIKE '%).(%')"
 _PRUNED = f"SELECT id FROM ix_global_symbols WHERE ({_NOT_VARIABLE} AND id IN (SELECT symbol_id FROM ix_defs)) OR symbol ILIKE '%typeLiteral%' OR symbol LIKE '%).(%' OR symbol LIKE '%().%'"
-_LINES = """k_line AS (
-  SELECT d.path, CAST(i AS BIGINT) AS line_no, x.parts[i + 1] AS text
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) x JOIN k_doc d ON d.doc_id = x.doc_id, UNNEST(range(len(x.parts))) AS t(i))"""
+_LINES = f"""ix_text AS (
+  SELECT x.doc_id AS document_id, CAST(i AS BIGINT) AS line_no, COALESCE(x.parts[i + 1], '') AS text
+  FROM (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS parts FROM documents WHERE doc_id IN (SELECT id FROM ix_documents)) x, UNNEST(range(greatest(len(x.parts), 200))) AS t(i)),
+{CODE.strip()}, k_line AS (
+  SELECT d.path, t.line_no, COALESCE(c.code, t.text) AS text FROM ix_text t JOIN k_doc d ON d.doc_id = t.document_id
+  LEFT JOIN (SELECT document_id, line_no, MIN(code) AS code FROM ix_code GROUP BY document_id, line_no) c ON c.document_id = t.document_id AND c.line_no = t.line_no)"""
 _PATH_OF = """k_named AS (
   SELECT symbol_id, replace(list_aggregate(list_slice(regexp_split_to_array(trim(split_part(symbol, '`', 1)), '\\s+'), 5, 99), 'string_agg', ' '), '`', '') || regexp_extract(symbol, '`([^`]+)`', 1) AS path FROM k_sym)"""
 
@@ -174,19 +176,28 @@ _SELECTS: dict[str, str] = {
     "merge_chunks": "SELECT d.path, CAST(c.chunk_index AS BIGINT) AS chunk_index, CAST(c.start_line AS BIGINT) AS start_line, CAST(c.end_line AS BIGINT) AS end_line FROM ix_chunks c JOIN k_doc d ON d.doc_id = c.document_id",
     "merge_mentions": f"SELECT d.path, CAST(c.chunk_index AS BIGINT) AS chunk_index, s.symbol, CAST(m.role AS BIGINT) AS role FROM ix_mentions m JOIN ix_chunks c ON c.id = m.chunk_id JOIN k_doc d ON d.doc_id = c.document_id JOIN k_sym s ON s.symbol_id = m.symbol_id",
     "merge_ranges": "SELECT d.path, s.symbol, CAST(r.start_line AS BIGINT) AS start_line, CAST(r.end_line AS BIGINT) AS end_line FROM ix_defs r JOIN k_doc d ON d.doc_id = r.document_id JOIN k_sym s ON s.symbol_id = r.symbol_id",
-    "refs_lines": "SELECT DISTINCT u.symbol_id, d.path, COALESCE((SELECT MIN(l.line_no) FROM k_line l WHERE l.path = d.path AND l.line_no BETWEEN u.c_start AND u.c_end AND s.leaf <> '' AND regexp_matches(l.text, '(^|[^\\pL\\pN_$`])' || regexp_escape(s.leaf) || '($|[^\\pL\\pN_$`])')), u.c_start) + 1 AS line FROM k_use u JOIN k_doc d ON d.doc_id = u.doc_id JOIN k_sym s ON s.symbol_id = u.symbol_id WHERE u.role <> 1",
-    "code_body": "SELECT symbol_id, path, start_line, start_line + LEAST(n, 5) - 1 AS shown_end, CASE WHEN length(b) > 32000 THEN regexp_replace(left(b, 32000), '\\n+$', '') || chr(10) || '...' ELSE b END AS body, n > 5 OR length(b) > 32000 AS truncated FROM (SELECT t.symbol_id, t.path, t.start_line, COUNT(*) AS n, regexp_replace(string_agg(CASE WHEN l.line_no < t.start_line + 5 THEN l.text END, chr(10) ORDER BY l.line_no), '\\n+$', '') AS b FROM (SELECT r.symbol_id, d.path, CAST(r.start_line AS BIGINT) AS start_line, r.end_line FROM ix_defs r JOIN k_doc d ON d.doc_id = r.document_id) t JOIN k_line l ON l.path = t.path AND l.line_no BETWEEN t.start_line AND t.end_line GROUP BY ALL) x",
-    "fallback_def": "SELECT s.symbol_id, n.path, MIN(l.line_no) AS start_line FROM k_sym s JOIN k_named n ON n.symbol_id = s.symbol_id JOIN k_line l ON l.path = n.path WHERE s.symbol_id NOT IN (SELECT symbol_id FROM ix_defs) AND regexp_matches(l.text, '^\\s*((async\\s+)?' || regexp_escape(s.leaf) || '\\s*[(<]|((public|private|protected|static|readonly)\\s+)*' || regexp_escape(s.leaf) || '\\s*\\??\\s*[:=(])') GROUP BY s.symbol_id, n.path",
+    "refs_lines": "SELECT DISTINCT u.symbol_id, d.path, COALESCE((SELECT MIN(l.line_no) FROM k_line l WHERE l.path = d.path AND l.line_no BETWEEN u.c_start AND u.c_end AND s.leaf <> '' AND contains(l.text, s.leaf) AND regexp_matches(l.text, '(^|[^\\pL\\pN_$`])' || regexp_escape(s.leaf) || '($|[^\\pL\\pN_$`])')), u.c_start) + 1 AS line FROM k_use u JOIN k_doc d ON d.doc_id = u.doc_id JOIN k_sym s ON s.symbol_id = u.symbol_id WHERE u.role <> 1",
+    "code_body": "SELECT symbol_id, path, start_line, start_line + LEAST(n, 80) - 1 AS shown_end, CASE WHEN length(b) > 32000 THEN regexp_replace(left(b, 32000), '\\n+$', '') || chr(10) || '...' ELSE b END AS body, n > 80 OR length(b) > 32000 AS truncated FROM (SELECT t.symbol_id, t.path, t.start_line, COUNT(*) AS n, regexp_replace(string_agg(CASE WHEN l.line_no < t.start_line + 80 THEN l.text END, chr(10) ORDER BY l.line_no), '\\n+$', '') AS b FROM (SELECT r.symbol_id, d.path, CAST(r.start_line AS BIGINT) AS start_line, r.end_line FROM ix_defs r JOIN k_doc d ON d.doc_id = r.document_id UNION ALL SELECT symbol_id, path, start_line, start_line FROM k_found) t JOIN k_line l ON l.path = t.path AND l.line_no BETWEEN t.start_line AND t.end_line GROUP BY ALL) x",
+    "fallback_def": "SELECT s.symbol_id, n.path, MIN(l.line_no) AS start_line FROM k_sym s JOIN k_named n ON n.symbol_id = s.symbol_id JOIN k_line l ON l.path = n.path WHERE s.symbol_id NOT IN (SELECT symbol_id FROM ix_defs) AND contains(l.text, s.leaf) AND regexp_matches(l.text, '^\\s*((async\\s+)?' || regexp_escape(s.leaf) || '\\s*[(<]|((public|private|protected|static|readonly)\\s+)*' || regexp_escape(s.leaf) || '\\s*\\??\\s*[:=(])') GROUP BY s.symbol_id, n.path",
 }
-_SELECTS["member_lines"] = _SELECTS["members"]
+# A member without a range: the first line of its parent's range that declares it.
+_SELECTS["member_lines"] = f"""SELECT m.parent_id, m.symbol_id, m.name, m.kind, COALESCE(m.start_line, h.hit) AS start_line, COALESCE(m.end_line, h.hit) AS end_line
+  FROM ({_SELECTS["members"]}) m LEFT JOIN (
+    SELECT m.parent_id, m.symbol_id, MIN(l.line_no) AS hit
+    FROM ({_SELECTS["members"]}) m JOIN {_FIRST_RANGE} f ON f.symbol_id = m.parent_id JOIN k_doc d ON d.doc_id = f.doc_id
+    JOIN k_line l ON l.path = d.path AND l.line_no BETWEEN f.low AND f.high
+    WHERE m.start_line IS NULL AND contains(l.text, m.name) AND regexp_matches(l.text, '^\\s*((public|private|protected|static|readonly)\\s+)*' || regexp_escape(m.name) || '\\s*\\??\\s*[:=(]')
+    GROUP BY m.parent_id, m.symbol_id) h ON h.parent_id = m.parent_id AND h.symbol_id = m.symbol_id"""
+_SELECTS["resolved_locations"] = f"""{_SELECTS["def_location"]} UNION ALL SELECT symbol_id, path, start_line, start_line AS end_line FROM ({_SELECTS["fallback_def"]}) x"""
 
 _EXTRA = {
     "affected": "k_hub AS (SELECT symbol_id FROM k_cons ORDER BY consumers DESC, symbol_id LIMIT 1), k_reach(symbol_id, depth) AS (SELECT symbol_id, 0 FROM k_hub UNION SELECT d.symbol_id, r.depth + 1 FROM k_reach r JOIN k_use u ON u.symbol_id = r.symbol_id AND u.role <> 1 JOIN k_def d ON d.doc_id = u.doc_id WHERE r.depth < 5 AND d.symbol_id <> r.symbol_id)",
     "cycles_longer": "k_step AS (SELECT from_file, to_file FROM k_edge WHERE NOT from_test AND NOT to_test), k_walk(first, last, files) AS (SELECT from_file, to_file, [from_file, to_file] FROM k_step WHERE from_file < to_file UNION ALL SELECT w.first, e.to_file, list_append(w.files, e.to_file) FROM k_walk w JOIN k_step e ON e.from_file = w.last WHERE len(w.files) < 8 AND e.to_file > w.first AND NOT list_contains(w.files, e.to_file))",
     "components": "k_path(a, b) AS (SELECT from_id, to_id FROM k_edge UNION SELECT p.a, e.to_id FROM k_path p JOIN k_edge e ON e.from_id = p.b)",
     "symbol_scalars": _PATH_OF, "document_path": _PATH_OF, "search": _PATH_OF,
-    "refs_lines": _LINES, "code_body": _LINES, "fallback_def": _LINES + ", " + _PATH_OF,
+    "refs_lines": _LINES,  "fallback_def": _LINES + ", " + _PATH_OF, "resolved_locations": _LINES + ", " + _PATH_OF, "member_lines": _LINES,
 }
+_EXTRA["code_body"] = f"{_LINES}, {_PATH_OF}, k_found AS ({_SELECTS['fallback_def']})"
 
 
 def oracle_sql() -> dict[str, str]:

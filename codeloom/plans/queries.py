@@ -172,7 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {
     name: _with_text(operator)
     for name, operator in {
-        "refs_lines": source_text.refs, "code_body": lambda f: source_text.code(f, max_lines=5).select("symbol_id", "path", "start_line", "shown_end", "body", "truncated"),
-        "fallback_def": source_text.scanned_definitions, "member_lines": source_text.member_lines,
+        "refs_lines": source_text.refs, "code_body": lambda f: source_text.code(f).select("symbol_id", "path", "start_line", "shown_end", "body", "truncated"),
+        "fallback_def": source_text.scanned_definitions, "member_lines": source_text.member_lines, "resolved_locations": source_text.resolved_locations,
     }.items()
 }
