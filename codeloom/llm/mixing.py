@@ -128,10 +128,10 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
 
     Ordered by mix_position the rows interleave by the target weights; sources
     without a weight have 1. Every row is kept: a source that runs out leaves
-    its slots to the others. Positions are distinct but not gapless (a
-    source's last block may be short). Null sources are in the class of the
-    small ones, as are sources beyond the largest ``CLASSES``. Rows with a null
-    or repeated doc_id are placed like any other. An empty table gives no rows;
+    its slots to the others; a source of weight 0 goes last; a negative weight is
+    a ValueError. Positions are distinct but not gapless (a source's last block
+    may be short). Null is a source of its own. Rows with a null or repeated
+    doc_id are placed like any other. An empty table gives no rows;
     other columns are carried along unless they have the names of the results,
     which replace them.
     """
