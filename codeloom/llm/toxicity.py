@@ -262,23 +262,26 @@ def _calibrate(model: Model, words: np.ndarray, texts: list, y: np.ndarray) -> N
 
 
 def thresholds(counts: list[tuple], limits: Limits = Limits()) -> dict[str, float]:
-    """The threshold of each language with the best F1, from (language, toxic, place of the score, rows) counts.
+    """The threshold of each language with the fewest errors, from (language, toxic, place of the score, rows) counts.
 
     All languages' counts together weigh as much as ``pooled_rows`` rows in
-    each. Of several best thresholds it is the middle one.
+    each, and as many more are evenly spread on the right sides of 0.5, where a
+    calibrated score has its threshold. Of several best ones it is the middle one.
     """
     tries = np.linspace(0.1, 0.9, 33)
     every: dict[str, np.ndarray] = {}
     for lang, toxic, place, n in counts:
         every.setdefault(lang, np.zeros((2, len(tries) + 1)))[toxic, np.searchsorted(tries * limits.places, place + 0.5, side="right")] += n
     pooled = sum(every.values(), np.zeros((2, len(tries) + 1)))
+    half = (len(tries) + 1) // 2
+    prior = np.zeros_like(pooled)
+    prior[0, :half] = prior[1, half:] = limits.pooled_rows / 2 / half
     out = {}
     for lang, own in every.items():
-        clean, toxic = own + pooled * (limits.pooled_rows / pooled.sum())
-        # Rows at or over each threshold.
-        caught, wrong = toxic[::-1].cumsum()[::-1][1:], clean[::-1].cumsum()[::-1][1:]
-        f1 = 2 * caught / np.maximum(caught + wrong + toxic.sum(), 1e-9)
-        out[lang] = float(np.median(tries[f1 >= f1.max() - 1e-9]))
+        clean, toxic = own + pooled * (limits.pooled_rows / pooled.sum()) + prior
+        # Clean rows at or over each threshold, and toxic ones below it.
+        errors = clean[::-1].cumsum()[::-1][1:] + toxic.cumsum()[:-1]
+        out[lang] = float(np.median(tries[errors <= errors.min() + 1e-9]))
     return out
 
 
