@@ -3,11 +3,12 @@
 Each table projects a unit vector to eight dimensions and decodes it to the
 nearest point of the lattice E8; that point and the nearest of its 240
 neighbours around the projection are the cells it is looked up in. A pair is a
-candidate when the own cell of one is among the cells of the other. Cells hold
-small rows (128 sign bits and hashes of the own cells), compared in blocks of
-bounded size; a pair whose bits agree enough leaves a block once, in the first
-table where the own cells agree. Cosines of these pairs are then computed in
-double precision. Vectors that are equal are one class from the start.
+candidate when the own cell of one is among the cells of the other. The vectors
+of a cell are compared in blocks of bounded size, by cosine in double
+precision. Every vector carries all its cells, so that a pair is counted where
+it meets first and nowhere else: a block gives the number of new links of each
+vector and one tie to its group, never the pairs. Vectors that are equal are
+one class from the start.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from .words import mix, series
 LEAST_COSINE = 0.93
 #: With these, a pair at the threshold is found with a probability of 0.99, one at 0.95 with 0.9997.
 TABLES, PROBES, SCALE = 12, 4, 1.0
-BITS = 128
-#: Sign bits that may differ: at the threshold 15.3 of 128 do, with a deviation of 3.7.
-MOST_BITS = 36
-BLOCK = 512
+#: Vectors of a cell that are compared with as many others at once.
+BLOCK = 2048
+#: Rows of cosines in memory at once, and pairs of blocks whose results are sent at once.
+SLICE, SENT = 256, 512
 _U = np.uint64
 
 
@@ -84,11 +85,6 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
     return out
 
 
-def _signs(unit: np.ndarray) -> np.ndarray:
-    rng = np.random.default_rng(30_000 + unit.shape[1])
-    return np.packbits(unit @ rng.standard_normal((unit.shape[1], BITS)) > 0, axis=1)
-
-
 def _by_size(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, unit vectors) for each length of vector."""
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
@@ -102,76 +98,91 @@ def _by_size(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, label, embedding) to one row for each cell: cell, own, rep, marks."""
+    """(rep, weight, label, embedding) to rep, weight, label, dim, cells (table by table, own cell first), unit."""
     for batch in batches:
-        reps = batch.column(0).to_numpy()
-        labels = mix(batch.column(1).to_numpy().astype(np.int64).view(_U) + _U(77))
-        for rows, unit in _by_size(batch.column(2)):
-            for at in range(0, len(rows), 256):
-                some = rows[at : at + 256]
-                found = cells(unit[at : at + 256])
-                own = (found[:, :, 0] & _U(0xFFFFFFFF)).astype(np.uint32)
-                marks = [a.tobytes() + b.tobytes() for a, b in zip(_signs(unit[at : at + 256]), own, strict=True)]
-                keyed = mix(found + labels[some][:, None, None] + _U(unit.shape[1])).view(np.int64).reshape(len(some), -1)
-                per = keyed.shape[1]
-                first = np.tile(np.arange(per) % (1 + PROBES) == 0, len(some))
-                table = np.tile(np.arange(per) // (1 + PROBES), len(some)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keyed.ravel()), pa.array(table), pa.array(first), pa.array(np.repeat(reps[some], per)), pa.array([m for m in marks for _ in range(per)], pa.binary())],
-                    names=["cell", "tab", "own", "rep", "marks"],
-                )
-
-
-def _block(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
-    """Candidate pairs of two blocks of a cell."""
-    side, own, rep = (np.array([r[k] for r in rows]) for k in range(3))
-    marks = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-    bits = np.ascontiguousarray(marks[:, : BITS // 8]).view(_U)
-    cells_of = np.ascontiguousarray(marks[:, BITS // 8 :]).view(np.uint32)
-    _, table, first, second = key
+        labels = mix(batch.column(2).to_numpy().view(_U) + _U(77))
+        for rows, unit in _by_size(batch.column(3)):
+            for at in range(0, len(rows), SLICE):
+                some, x = rows[at : at + SLICE], unit[at : at + SLICE]
+                keyed = mix(cells(x) + labels[some][:, None, None] + _U(x.shape[1])).view(np.int64).reshape(len(some), -1)
+                picked = batch.take(pa.array(some))
+                dims = pa.array(np.full(len(some), x.shape[1]))
+                yield pa.RecordBatch.from_arrays([*picked.columns[:3], dims, _lists(keyed), _lists(x)], names=["rep", "weight", "label", "dim", "cells", "unit"])
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], pa.array(rows.ravel()))
+
+
+def _first_meeting(a: int, others: np.ndarray, tab: int, own: np.ndarray, rep: np.ndarray, cells_of: np.ndarray) -> np.ndarray:
+    """Whether each pair of a and another meets in no earlier table, and in this one in no cell that counts before."""
+    mine, theirs = cells_of[a, : tab + 1], cells_of[others, : tab + 1]
+    probed = (theirs[:, :, :1] == mine).any(axis=2)  # a looks into the other's own cell
+    probing = (theirs == mine[:, :1]).any(axis=2)
+    met = (probed | probing)[:, :tab].any(axis=1)
+    # Two that probe each other's own cell meet in both; that of the smaller number counts.
+    twice = probed[:, tab] & probing[:, tab] & ~(own[a] & own[others])
+    return ~met & (~twice | ((rep[others] > rep[a]) == own[a]))
+
+
+def _compared(key: tuple, side: np.ndarray, own: np.ndarray, rep: np.ndarray, weight: np.ndarray, cells_of: np.ndarray, unit: np.ndarray) -> list[np.ndarray]:
+    """Two blocks of a cell to (rep, a member of its group, number of links first met here)."""
+    _, tab, _, _, first, second = key
+    cells_of = cells_of.reshape(len(rep), TABLES, 1 + PROBES)
     left, right = np.flatnonzero(side == first), np.flatnonzero(side == second)
-    out = []
-    for i in left:
-        others = right[own[right] | own[i]]
-        others = others[others > i] if first == second else others
-        others = others[np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1) <= MOST_BITS]
-        same = cells_of[others] == cells_of[i]
-        shared = same.any(axis=1)
-        keep = np.where(shared, own[others] & own[i] & (same.argmax(axis=1) == table), True)
-        out.extend((min(rep[i], r), max(rep[i], r)) for r in rep[others[keep]] if r != rep[i])
-    return out
+    linked, group = np.zeros(len(rep), np.int64), np.arange(len(rep))
+    facing = unit[right].T
+    for at in range(0, len(left), SLICE):
+        some = left[at : at + SLICE]
+        near = (unit[some] @ facing >= LEAST_COSINE) & (own[some][:, None] | own[right])
+        if first == second:
+            near &= right > some[:, None]
+        for k in np.flatnonzero(near.any(axis=1)):
+            a, others = some[k], right[near[k]]
+            others = others[_first_meeting(a, others, tab, own, rep, cells_of)]
+            if len(others):
+                linked[a] += weight[others].sum()
+                linked[others] += weight[a]
+                groups = np.unique(group[np.append(others, a)])
+                if len(groups) > 1:
+                    group[np.isin(group, groups)] = groups[0]
+    out = np.flatnonzero(linked)
+    return [rep[out], rep[group[out]], linked[out]]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, held = None, []
+    """Rows sorted by (cell, tab, label, dim, i, j), with side, own, rep, weight, cells and unit, to links by vector."""
+    at, held, found = None, [], []
 
-    def pairs() -> pa.RecordBatch:
-        found = _block(at, held) if len(held) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+    def close() -> None:
+        if sum(len(part[0]) for part in held) > 1:
+            found.append(_compared(at, *(np.concatenate(c) for c in zip(*held, strict=True))))
+
+    def sent() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "linked"])
 
     for batch in batches:
-        keys = [batch.column(k).to_pylist() for k in range(4)]
-        rest = [batch.column(k).to_pylist() for k in range(4, 8)]
-        for key, row in zip(zip(*keys, strict=True), zip(*rest, strict=True), strict=True):
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy() for k in range(6)], axis=1)
+        rest = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6, 10)]
+        known = batch.column(10).flatten().to_numpy().reshape(len(keys), -1)
+        dims = keys[:, 3]
+        starts = np.concatenate(([0], np.cumsum(dims)))
+        flat = batch.column(11).flatten().to_numpy()
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for lo, hi in itertools.pairwise(cuts):
+            key = tuple(keys[lo].tolist())
             if key != at:
-                yield pairs()
+                close()
                 at, held = key, []
-            held.append(row)
-    yield pairs()
-
-
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, embedding, other embedding) to the pairs whose cosine is high enough."""
-    for batch in batches:
-        units = []
-        for k in (2, 3):
-            unit = [None] * batch.num_rows
-            for rows, x in _by_size(batch.column(k)):
-                for r, one in zip(rows, x, strict=True):
-                    unit[r] = one
-            units.append(unit)
-        cosines = np.array([a @ b if len(a) == len(b) else 0.0 for a, b in zip(*units, strict=True)])
-        yield batch.select([0, 1]).filter(pa.array(cosines >= LEAST_COSINE))
+                if len(found) >= SENT:
+                    yield sent()
+                    found.clear()
+            held.append((*(c[lo:hi] for c in rest), known[lo:hi], flat[starts[lo] : starts[hi]].reshape(hi - lo, -1)))
+    close()
+    yield sent()
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
@@ -198,27 +209,24 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     sets = named.groupBy(*key).agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id())
     sets = stage(sets, "sets")
     named = stage(named.join(sets.select(*key, "rep"), key), "named")
-    firsts = sets.select("rep", *key, F.col("first").alias("vec_id"))
+    firsts = sets.select("rep", "weight", *key, F.col("first").alias("vec_id"))
     whole = rows.where(usable).withColumns({"low": F.xxhash64("embedding"), "high": F.xxhash64(F.lit(1), "embedding")}).join(firsts, ["vec_id", *key])
-    whole = stage(whole.select("rep", "label", "embedding").dropDuplicates(["rep"]), "whole")
-    placed = whole.select("rep", "label", "embedding").mapInArrow(_placed, "cell long, tab int, own boolean, rep long, marks binary")
-    placed = stage(placed, "placed")
+    whole = whole.select("rep", "weight", "label", "embedding").dropDuplicates(["rep"])
+    whole = stage(whole.mapInArrow(_placed, "rep long, weight long, label long, dim long, cells array<long>, unit array<double>"), "whole")
+    placed = whole.select("rep", F.posexplode("cells").alias("pos", "cell"))
+    placed = placed.select("rep", "cell", F.floor(F.col("pos") / (1 + PROBES)).alias("tab"), (F.col("pos") % (1 + PROBES) == 0).alias("own"))
     shared = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own").select("cell", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     dealt = placed.join(stage(shared, "shared"), "cell").withColumn("side", F.pmod(F.xxhash64("rep"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", "tab", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "own", "rep", "marks")
-    dealt = dealt.repartition("cell", "tab", "i", "j").sortWithinPartitions("cell", "tab", "i", "j")
-    pairs = stage(dealt.mapInArrow(_blocks, "u long, v long").distinct(), "pairs")
-    one = whole.select(F.col("rep").alias("u"), "embedding")
-    two = whole.select(F.col("rep").alias("v"), F.col("embedding").alias("other"))
-    links = stage(pairs.join(one, "u").join(two, "v").select("u", "v", "embedding", "other").mapInArrow(_close, "u long, v long"), "links")
-    weights = sets.select("rep", "weight")
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    counted = both.join(weights.withColumnRenamed("rep", "v"), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("weight").alias("linked"))
+    dealt = dealt.select("cell", "tab", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "own", "rep").join(whole, "rep")
+    order = ["cell", "tab", "label", "dim", "i", "j"]
+    dealt = dealt.select(*order, "side", "own", "rep", "weight", "cells", "unit").repartition("cell", "tab", "i", "j").sortWithinPartitions(*order)
+    links = stage(dealt.mapInArrow(_blocks, "u long, v long, linked long"), "links")
+    counted = links.groupBy(F.col("u").alias("rep")).agg(F.sum("linked").alias("linked"))
     # Sets that share a vec_id are tied through the first of them.
     several = named.groupBy("vec_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).where("u <> last").select("vec_id", "u")
     ties = named.join(several, "vec_id").select("u", F.col("rep").alias("v")).where("u <> v")
-    classes = components(links.unionByName(ties))
+    classes = components(links.select("u", "v").unionByName(ties))
     rooted = stage(sets.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "first", "weight", F.coalesce("root", "rep").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     per_set = rooted.join(least, "root").join(counted, "rep", "left").select("rep", "component_id", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))

@@ -2,6 +2,7 @@ import collections
 
 import numpy as np
 
+from codeloom.llm import lattice
 from codeloom.llm.lattice import ROOTS, cells, decoded, near_vectors
 
 SCHEMA = "vec_id long, embedding array<double>, label int"
@@ -43,6 +44,20 @@ def test_agrees_with_brute_force(spark):
     assert sum(x.component_id == roots[x.vec_id] for x in out) >= 0.97 * len(out)
 
 
+def test_a_crowded_cell_counts_each_link_once_and_sends_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "BLOCK", 16)
+    sent = {}
+    staged = lattice.stage
+    monkeypatch.setattr(lattice, "stage", lambda df, label: sent.setdefault(label, staged(df, label)))
+    r = np.random.default_rng(4)
+    base = r.standard_normal(32)
+    rows = [(k, (base + r.standard_normal(32) * 0.1).tolist(), 1) for k in range(150)] + [(k, r.standard_normal(32).tolist(), 1) for k in range(150, 180)]
+    out = near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    links, roots = brute(rows)
+    assert {x.vec_id: (x.n_links, x.component_id) for x in out} == {k: (links[k], roots[k]) for k in roots}
+    assert sent["links"].count() < sum(links.values()) / 4
+
+
 def test_odd_rows(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 1), (2, v, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [], 1), (7, [0.0] * 3, 1), (8, [None, 2.0, 3.0], 1), (9, [float("nan"), 2.0, 3.0], 1), (10, [float("inf"), 2.0, 3.0], 1), (11, [2.0, 4.0, 6.0], 1), (12, [1e200, 2e200, 3e200], 1), (13, [1.0, 2.0], 1), (None, v, 1), (2, v, 1)]
