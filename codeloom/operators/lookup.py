@@ -12,6 +12,11 @@ from ..functions import paths, symbols
 from .model import DEFINITION, Facts
 from .symbol_checks import prefixes
 
+#: Lines that ranges and chunks are dealt by before they are joined.
+STRETCH = 200
+#: Characters of a path by which a ranking is split over tasks.
+BEGINS = 40
+
 
 def _leaf() -> Column:
     return symbols.leaf_name(F.col("symbol")).alias("name")
@@ -83,9 +88,13 @@ def resolve_file(facts: Facts, pattern: str, scope: str | None = None) -> DataFr
     wanted = base if "." in pattern else pattern
     exact = (name == wanted) | (stem == wanted)
     test = F.contains(name, F.lit(".test.")) | name.endswith(".spec.ts") | name.endswith(".spec.tsx")
-    # Few rows: what one pattern matches.
-    rank = F.row_number().over(Window.orderBy(~exact, test, "path"))
-    return rows.select("path", rank.alias("rank"))
+    # Ranked within beginnings of paths; one task sees one row for each beginning.
+    group = ["late", "test", "begins"]
+    rows = rows.select("path", (~exact).alias("late"), test.alias("test"), F.substring("path", 1, BEGINS).alias("begins"))
+    before = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*group).agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy(*group).orderBy("path"))
+    return rows.withColumn("within", within).join(counts, group).select("path", (F.col("ahead") + F.col("within")).cast("int").alias("rank"))
 
 
 def paths_in_scope(facts: Facts, scope: str, include_tests: bool = True) -> DataFrame:
@@ -166,14 +175,28 @@ def _callee_rows(facts: Facts, rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def deps_of_symbols(facts: Facts) -> DataFrame:
-    """symbol_id, callee_id, name, path, start_line: what is mentioned in the chunks that a symbol's first range overlaps."""
+    """symbol_id, callee_id, name, path, start_line: what is mentioned in the chunks that a symbol's first range overlaps.
+
+    Ranges meet chunks by stretches of lines, and mentions join the chunks that
+    are left, so that no document's symbols are paired with all its mentions.
+    """
     first = facts.index.ranges.groupBy("symbol_id").agg(F.min(F.struct("id", "document_id", "start_line", "end_line")).alias("r"))
     first = first.select("symbol_id", F.col("r.document_id").alias("doc_id"), F.col("r.start_line").alias("low"), F.col("r.end_line").alias("high"))
-    inside = facts.located.where(F.col("role") != DEFINITION).select(F.col("symbol_id").alias("callee_id"), "doc_id", "chunk_start", "chunk_end")
-    rows = first.join(inside, "doc_id").where("chunk_start <= high and chunk_end >= low and callee_id <> symbol_id").select("symbol_id", "callee_id").distinct()
+    chunks = facts.index.chunks.select(F.col("id").alias("chunk_id"), F.col("document_id").alias("doc_id"), F.col("start_line").alias("chunk_start"), F.col("end_line").alias("chunk_end"))
+    ranges, chunks = first.withColumn("stretch", _stretches("low", "high")), chunks.withColumn("stretch", _stretches("chunk_start", "chunk_end"))
+    # Two that overlap over several stretches are taken at the first of them.
+    met = ranges.join(chunks, ["doc_id", "stretch"]).where("chunk_start <= high and chunk_end >= low")
+    met = met.where(F.col("stretch") == F.greatest(*(F.floor(F.least(*ends) / STRETCH) for ends in (("low", "high"), ("chunk_start", "chunk_end")))))
+    inside = facts.index.mentions.where(F.col("role") != DEFINITION).select(F.col("symbol_id").alias("callee_id"), "chunk_id").distinct()
+    rows = met.select("symbol_id", "chunk_id").join(inside, "chunk_id").where("callee_id <> symbol_id").select("symbol_id", "callee_id").distinct()
     return _callee_rows(facts, rows, "symbol_id")
 
 
+def _stretches(low: str, high: str) -> Column:
+    """The numbers of the stretches of lines from ``low`` to ``high``, a row each."""
+    return F.explode(F.sequence(F.floor(F.col(low) / STRETCH), F.floor(F.col(high) / STRETCH)))
+
+
 def deps_of_files(facts: Facts) -> DataFrame:
     """from_path, callee_id, name, path, start_line: what is mentioned in a file and not defined there."""
     used = facts.use.where("n_other > 0").select(F.col("symbol_id").alias("callee_id"), "doc_id")

@@ -170,7 +170,10 @@ class Facts:
 
     @cached_property
     def live_aliases(self) -> DataFrame:
-        """Bases of export aliases that are mentioned outside the document their symbol names."""
+        """base, exported (true): bases of export aliases that are mentioned outside the document their symbol names.
+
+        The mark is part of the table, as a join with a projection of a cached table doesn't always find the cache.
+        """
         aliases = self.names.withColumn("base", symbols.alias_base(F.col("symbol"))).where("base is not null and base <> ''")
         named = aliases.withColumn("file", symbols.quoted_file(F.col("symbol"))).where("file is not null")
         # By base name, then the full path that the symbol gives, else the lowest id.
@@ -178,17 +181,16 @@ class Facts:
         best = named.join(docs, "file").withColumn("other_path", (F.col("path") != F.coalesce(symbols.file_path(F.col("symbol")), F.lit(""))).cast("int"))
         home = best.groupBy("symbol_id", "base").agg(F.min(F.struct("other_path", "doc_id")).alias("d")).select("symbol_id", "base", F.col("d.doc_id").alias("home"))
         users = self.use.where("n_other > 0")
-        return home.join(users, "symbol_id").where("doc_id <> home").select("base").distinct()
+        return home.join(users, "symbol_id").where("doc_id <> home").select("base").distinct().withColumn("exported", F.lit(True))
 
     def with_liveness(self, rows: DataFrame) -> DataFrame:
         """``rows`` (symbol, doc_id) with ``live``: module_import:n, export_alias, default_export:n or null."""
-        base = symbols.value_base(F.col("symbol"))
-        rows = rows.withColumn("_base", base)
-        rows = rows.join(self.live_modules, "doc_id", "left").join(self.live_aliases.select(F.col("base").alias("_base"), F.lit(True).alias("_alias")), "_base", "left")
+        rows = rows.withColumn("base", symbols.value_base(F.col("symbol")))
+        rows = rows.join(self.live_modules, "doc_id", "left").join(self.live_aliases, "base", "left")
         module = symbols.is_module(F.col("symbol"))
         count = F.col("importers").cast("string")
-        label = F.when(module, F.concat(F.lit("module_import:"), count)).when(F.col("_base").isNull(), None).when(F.col("_alias"), "export_alias").otherwise(F.concat(F.lit("default_export:"), count))
-        return rows.withColumn("live", label).drop("_base", "_alias", "importers")
+        label = F.when(module, F.concat(F.lit("module_import:"), count)).when(F.col("base").isNull(), None).when(F.col("exported"), "export_alias").otherwise(F.concat(F.lit("default_export:"), count))
+        return rows.withColumn("live", label).drop("base", "exported", "importers")
 
     def kept(self, rows: DataFrame, include_tests: bool | None = None) -> DataFrame:
         """``rows`` (path, symbol) in scope and without noise."""

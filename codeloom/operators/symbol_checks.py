@@ -38,11 +38,19 @@ def symbol_pressure(facts: Facts) -> DataFrame:
 
 
 def prefixes(names: DataFrame) -> DataFrame:
-    """symbol_id, symbol, parent: every proper prefix of a symbol that ends where a descriptor can."""
+    """symbol_id, symbol, parent: every proper prefix of a symbol that ends where a descriptor can.
+
+    Descriptors come after four words (scheme, manager, package, version), which
+    all symbols of a project share and which are no symbol; a text with fewer
+    words is all descriptors.
+    """
     s = F.col("symbol")
-    cuts = F.filter(F.sequence(F.lit(1), F.length(s) - 1), lambda i: s.substr(i, F.lit(1)).isin("/", "#", ".", ":", ")"))
-    rows = names.where(F.length(s) > 1).select("symbol_id", "symbol", F.explode(cuts).alias("cut"))
-    return rows.select("symbol_id", "symbol", s.substr(F.lit(1), F.col("cut")).alias("parent"))
+    words = F.length(F.substring_index(s, " ", 4))
+    head = F.when(words < F.length(s), words + 1).otherwise(0)
+    tail = s.substr(head + 1, F.length(s))
+    cuts = F.filter(F.transform(F.split(tail, ""), lambda c, i: F.when(c.isin("/", "#", ".", ":", ")"), i + 1)), lambda i: i.isNotNull())
+    rows = names.select("symbol_id", "symbol", F.explode(cuts).alias("cut")).where(head + F.col("cut") < F.length(s))
+    return rows.select("symbol_id", "symbol", s.substr(F.lit(1), head + F.col("cut")).alias("parent"))
 
 
 def def_context(facts: Facts) -> DataFrame:

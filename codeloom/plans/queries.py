@@ -154,7 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "change_surface": fc.change_surface, "file_consumers": fc.file_consumers, "coupling_for": fc.coupling_for, "imports_summary": fc.imports_summary, "top_symbol_pressure": fc.top_symbol_pressure,
         "consumer_files": sc.consumer_files, "dependencies": sc.dependencies, "symbol_pressure": sc.symbol_pressure, "def_context": sc.def_context, "affected": affected,
         "file_edges": lambda f: graph.file_edges(f).select("from_file", "to_file"), "cycles_two_way": graph.two_way_cycles, "cycles_longer": cycles_longer, "components": components,
-        "symbol_scalars": symbol_scalars, "path_scalars": path_scalars, "noise": noise, "live_modules": lambda f: f.live_modules, "live_aliases": lambda f: f.live_aliases, "liveness": liveness,
+        "symbol_scalars": symbol_scalars, "path_scalars": path_scalars, "noise": noise, "live_modules": lambda f: f.live_modules, "live_aliases": lambda f: f.live_aliases.select("base"), "liveness": liveness,
         "files_with_importers": pc.files_with_importers, "fan_out": pc.fan_out, "sym_ref_docs": lambda f: f.use,
         "resolve_symbol": resolve_symbol, "resolve_file": resolve_file, "paths_in_scope": lambda f: lookup.paths_in_scope(f, FOLDER), "outermost": outermost,
         "file_symbols": lookup.file_symbols, "importers": lookup.importers, "members": lookup.members, "def_location": lookup.def_location, "document_path": lookup.document_path,
