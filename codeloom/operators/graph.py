@@ -100,28 +100,44 @@ def _spread(colours: DataFrame, edges: DataFrame) -> DataFrame:
 def longer_cycles(facts: Facts, most: int = MAX_FILES) -> DataFrame:
     """Cycles of 3 to ``most`` files, at most ``MAX_FILES``, as arrays of paths that begin with the least path.
 
-    Paths grow one edge a round from their least file, within edges of cycles.
-    Their number can be exponential in ``most``.
+    Each cycle is met in the middle: a path from its least id takes half of the
+    edges, rounded up, and one that leads back there the others. Paths grow by
+    ids, within edges of cycles. The number of halves can be exponential in half
+    of ``most``, that of cycles in ``most``.
     """
+    most = min(most, MAX_FILES)
     every = file_edges(facts)
     every = every if facts.include_tests else every.where("not from_test and not to_test")
-    # Paths order the files; ids join them.
-    every = cut(every)
-    steps = cut(every.join(cyclic_edges(every), ["from_id", "to_id"], "left_semi").select("from_file", "to_file"))
-    paths_now = steps.where("to_file > from_file").select(F.array("from_file", "to_file").alias("files"))
-    found = None
-    for _ in range(3, min(most, MAX_FILES) + 1):
-        last = paths_now.withColumn("from_file", F.element_at("files", -1))
-        grown = last.join(steps, "from_file").where((F.col("to_file") > F.get("files", F.lit(0))) & ~F.array_contains("files", F.col("to_file")))
-        paths_now = cut(grown.select(F.array_append("files", F.col("to_file")).alias("files")))
-        ends = paths_now.withColumn("from_file", F.element_at("files", -1)).withColumn("to_file", F.get("files", F.lit(0)))
-        closed = ends.join(steps, ["from_file", "to_file"], "left_semi").select("files")
-        found = closed if found is None else found.unionByName(closed)
-    if found is None:
-        found = paths_now.limit(0)
+    steps = cyclic_edges(every)
+    ahead = _half_paths(steps, (max(most, 2) + 1) // 2).withColumnRenamed("between", "ahead")
+    back = _half_paths(steps.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), max(most, 2) // 2).withColumnRenamed("between", "back")
+    more = F.size("ahead") - F.size("back")
+    met = ahead.where(F.size("ahead") > 0).join(back, ["home", "last"]).where((more == 0) | (more == 1)).where(~F.arrays_overlap("ahead", "back"))
+    met = met.where(F.size("ahead") + F.size("back") + 2 <= most)
+    ring = cut(met.select(F.concat(F.array("home"), "ahead", F.array("last"), F.reverse("back")).alias("ring")))
+    named = ring.select("ring", F.posexplode("ring").alias("place", "doc_id")).join(facts.docs.select("doc_id", "path"), "doc_id")
+    files = F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"])
+    found = named.groupBy("ring").agg(files.alias("files"))
+    first = F.array_position("files", F.array_min("files")).cast("int")
+    found = found.select(F.concat(F.slice("files", first, F.size("files")), F.slice("files", F.lit(1), first - 1)).alias("files"))
     return found.where(F.exists("files", lambda p: paths.in_scope(p, facts.scope)))
 
 
+def _half_paths(steps: DataFrame, most: int) -> DataFrame:
+    """home, last, between: paths of 1 to ``most`` steps whose least id is where they begin.
+
+    All but the longest are kept; those are grown where they are read.
+    """
+    now = steps.where("to_id > from_id").select(F.col("from_id").alias("home"), F.col("to_id").alias("last"), F.array().cast("array<long>").alias("between"))
+    found = now
+    for edges in range(2, most + 1):
+        grown = now.withColumnRenamed("last", "from_id").join(steps, "from_id").where((F.col("to_id") > F.col("home")) & ~F.array_contains("between", F.col("to_id")))
+        now = grown.select("home", F.col("to_id").alias("last"), F.array_append("between", F.col("from_id")).alias("between"))
+        now = cut(now) if edges < most else now
+        found = found.unionByName(now)
+    return found
+
+
 def affected(facts: Facts, start: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """symbol_id, depth: symbols of files that mention a symbol reached one step before, from ``start`` (symbol_id).
 
