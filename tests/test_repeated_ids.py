@@ -38,7 +38,7 @@ def counted(spark, shifted, name):
     return collections.Counter(tuple(r[c] for c in columns) for r in df.collect()), theirs
 
 
-@pytest.mark.parametrize("name", ["def_location", "liveness"])
+@pytest.mark.parametrize("name", ["def_location", "liveness", "noise"])
 def test_query(spark, shifted, name):
     ours, theirs = counted(spark, shifted, name)
     assert ours == theirs
