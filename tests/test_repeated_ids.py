@@ -38,7 +38,7 @@ def counted(spark, shifted, name):
     return collections.Counter(tuple(r[c] for c in columns) for r in df.collect()), theirs
 
 
-@pytest.mark.parametrize("name", ["change_surface", "code_body", "def_location", "deps_symbol", "external_ref_count", "file_symbols", "hotspots", "imports_summary", "liveness", "noise", "search", "symbol_pressure", "test_only"])
+@pytest.mark.parametrize("name", ["change_surface", "code_body", "def_location", "deps_symbol", "external_ref_count", "file_symbols", "hotspots", "imports_summary", "liveness", "noise", "resolved_locations", "search", "symbol_pressure", "test_only"])
 def test_query(spark, shifted, name):
     ours, theirs = counted(spark, shifted, name)
     assert ours == theirs
