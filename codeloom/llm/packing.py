@@ -126,33 +126,38 @@ def token_source(path: str) -> Callable[[], Callable[[list], list[bytes]]]:
         def encode(texts: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for i in range(0, len(texts), 10_000) for e in kept.tokenizer.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False)]
 
-        def encode_plain(chunks: list[str], parts: list[int]) -> list[bytes]:
-            """Ids of chunks that the tokenizer cuts into so many parts: many in one text, told apart by their parts' last tokens."""
+        def encode_plain(parts: list[str]) -> list[bytes]:
+            """Ids of parts that the tokenizer doesn't cut: many in one text, told apart by their last tokens."""
             out = []
-            for i in range(0, len(chunks), 1000):
-                some, ends = chunks[i : i + 1000], np.cumsum(parts[i : i + 1000])
+            for i in range(0, len(parts), 1000):
+                some = parts[i : i + 1000]
                 ids = np.array(kept.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
                 last = np.flatnonzero(kept.last[ids]) + 1
-                if len(last) != ends[-1]:
+                if len(last) != len(some):
                     out.extend(encode(some))
                     continue
                 data, at = ids.tobytes(), 0
-                for end in (last[ends - 1] * 4).tolist():
+                for end in (last * 4).tolist():
                     out.append(data[at:end])
                     at = end
             return out
 
         def learn(chunks: set) -> None:
-            plain, parts, whole = [], [], []
+            """A plain chunk's ids are those of its parts, so a word is looked up once for all marks around it."""
+            plain, cuts, whole, parts = [], [], [], set()
             for chunk in known.lacking(chunks):
                 cut = _PLAIN.fullmatch(chunk)
                 if cut:
-                    before, after = cut.span(2)
                     plain.append(chunk)
-                    parts.append(1 + (before > 0) + (after < len(chunk)))
+                    cuts.append(cut.groups())
+                    parts.update(cuts[-1])
                 else:
                     whole.append(chunk)
-            known.newer.update(zip(plain, encode_plain(plain, parts), strict=True))
+            ids = {part: known.newer.get(part) or known.older.get(part) for part in parts}
+            ids[""] = b""
+            new = [part for part, found in ids.items() if found is None]
+            ids.update(zip(new, encode_plain(new), strict=True))
+            known.newer.update((chunk, ids[x] + ids[y] + ids[z]) for chunk, (x, y, z) in zip(plain, cuts, strict=True))
             known.newer.update(zip(whole, encode(whole), strict=True))
 
         def many(texts: list) -> list[bytes]:

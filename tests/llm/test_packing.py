@@ -64,3 +64,32 @@ def test_ids_from_cached_parts_equal_those_of_the_tokenizer():
     ids = token_source(tokenizer_path())()(texts)
     t = tokenizers.Tokenizer.from_file(tokenizer_path())
     assert [np.frombuffer(x, "<u4").tolist()[:-1] for x in ids] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_word_is_tokenised_once_for_all_marks_around_it():
+    import sys
+
+    import public_tokenizers
+    from codeloom.llm.packing import END, token_source
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    many = token_source(path)()
+    kept = sys.modules["_codeloom_tokens"]
+    plain, seen = kept.tokenizer, []
+
+    class Counting:
+        def encode(self, text, **options):
+            seen.extend(text.split(" "))
+            return plain.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            return plain.encode_batch_fast(texts, **options)
+
+    kept.tokenizer = Counting()
+    try:
+        text = "zorbleflux zorbleflux, (zorbleflux) zorbleflux!? [zorbleflux"
+        found = many([text])[0]
+    finally:
+        kept.tokenizer = plain
+    assert seen.count("zorbleflux") == 1 and not any("zorbleflux" in x and x != "zorbleflux" for x in seen)
+    assert found == b"".join(i.to_bytes(4, "little") for i in plain.encode(text, add_special_tokens=False).ids) + END
