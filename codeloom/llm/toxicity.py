@@ -10,6 +10,8 @@ the score, which is then calibrated on sample rows kept back from training.
 The sample is bounded by ``Limits``: so many labelled texts of each class,
 picked by a hash of their id among rows outside the held-out fold. A sample
 text may have up to ``sample_chars`` characters; what is scored has no limit.
+One task trains on it: the driver sees neither the texts nor the gradients, only
+the arrays of the model.
 The threshold of a language is calibrated on all its labelled rows outside the
 held-out fold that the classifier wasn't trained on, of any length, by counts
 of their scores. The counts of all languages together have a small weight in
@@ -18,6 +20,7 @@ each, so that one with few labelled rows leans on them.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -92,13 +95,24 @@ def picked_ids(known: DataFrame, limits: Limits) -> DataFrame:
     return stage(some[0].unionByName(some[1]), "picked")
 
 
-def sample(docs: DataFrame, picked: DataFrame, limits: Limits) -> list:
-    """At most ``2 * per_class`` rows (toxic, text, kept back) for training."""
+def sample(docs: DataFrame, picked: DataFrame, limits: Limits) -> DataFrame:
+    """At most ``2 * per_class`` rows (toxic, text, kept back) for training, in order and in one partition."""
     small_batches(docs.sparkSession)
     # Bounded: at most 2 * per_class rows of two integers.
     rows = docs.where(F.length("text") <= limits.sample_chars).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text", _kept_back(limits).alias("back"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * limits.per_class)
-    return [(r["toxic"], r["text"], r["back"]) for r in rows.select("toxic", "text", "back").collect()]
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * limits.per_class).select("toxic", "text", "back").coalesce(1)
+
+
+def fitted(rows: DataFrame, limits: Limits) -> bytes:
+    """The model of the sample ``rows``, as pickled plain arrays."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(train(held, limits)))], pa.binary())], names=["model"])
+
+    # One row of a few MB; an empty sample may have no task.
+    found = rows.mapInArrow(fit, "model binary").collect()
+    return bytes(found[0]["model"]) if found else pickle.dumps(vars(train([], limits)))
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -305,10 +319,10 @@ def scores(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), extra:
     known = known_labels(labels)
     picked = picked_ids(known, limits)
     # Plain arrays: workers need no class of this package to read them.
-    model = spark.sparkContext.broadcast(vars(train(sample(docs, picked, limits), limits)))
+    model = spark.sparkContext.broadcast(fitted(sample(docs, picked, limits), limits))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**model.value)
+        m = Model(**pickle.loads(model.value))
         for batch in batches:
             for at, hashes, offsets in hashed_words(batch.column(2), NOT_ALNUM, PREFIXES):
                 _, first, inverse = np.unique(hashes[:, 0], return_index=True, return_inverse=True)

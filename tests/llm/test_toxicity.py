@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -59,6 +60,22 @@ def test_training_is_repeatable():
     assert (a.embedding == b.embedding).all() and a.scale == b.scale
 
 
+def test_training_runs_in_a_task_and_not_on_the_driver(spark, monkeypatch, tmp_path):
+    plain, note = toxicity.train, str(tmp_path / "process")
+
+    def noted(*given):
+        with open(note, "w") as f:
+            f.write(f"{os.getpid()} {len(given[0])}")
+        return plain(*given)
+
+    monkeypatch.setattr(toxicity, "train", noted)
+    rows, labels = corpus(200)
+    scores(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), Limits(epochs=1, least_steps=1)).count()
+    with open(note) as f:
+        process, n = map(int, f.read().split())
+    assert process != os.getpid() and 100 < n < 200
+
+
 def test_thresholds_have_the_fewest_errors_and_lean_on_all_languages():
     many = [("en", 1, p, 40) for p in range(300, 1000, 10)] + [("en", 0, p, 40) for p in range(0, 290, 10)]
     few = [("de", 1, 950, 1)]
