@@ -11,7 +11,8 @@ Banding: 45 bands of 5 coordinates. A pair at the threshold of 0.75 misses all
 of them with a probability of 5e-6.
 
 Verification never lists the pairs of a bucket. Sets that are equal are one
-class from the start. Each round picks a leader in each bucket and compares
+class from the start. Each round, as long as the last one found enough links,
+picks a leader in each bucket and compares
 every other member with the leader it shares most bands with; what passes is
 contracted. Members of a bucket whose classes still differ are then compared in
 blocks of bounded size, each pair in its first common bucket only: where sizes
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, few_components
 from .shared import small_batches, stage
 from .words import hashed_words, mix, series, shingles
 
@@ -38,12 +39,16 @@ WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Leader rounds before pairs across classes are compared one by one.
 ROUNDS = 3
+#: A round after which fewer than one in so many comparisons was a link is the last: blocks do the rest.
+WORTH = 20
 #: Rows of a bucket in a block; larger buckets are compared block by block.
 BLOCK = 512
 #: Coordinates that must agree before a pair is verified: at 0.75 of 225, five deviations of 6.5 less.
 AGREE = 135
 #: Members of one leader that one task compares.
 MEMBERS = 64
+#: Links up to which one task finds the classes (2 MB of them); more take rounds of shuffles.
+FEW = 100_000
 
 _U = np.uint64
 
@@ -126,12 +131,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (leader, member) pairs whose shingle sets are similar enough, as (u, v) links.
+    """The staged (leader, member) pairs whose shingle sets are similar enough, as (u, v) links.
 
     A leader's text goes once to each task that compares up to ``MEMBERS`` of
     its members, so a hot leader is spread over tasks.
     """
-    pairs = stage(pairs, "pairs")
     hot = stage(pairs.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > MEMBERS), "hot")
     parts = F.coalesce(F.ceil(F.col("n") / MEMBERS), F.lit(1))
     pairs = pairs.join(hot, "leader", "left").select("leader", "member", F.pmod(F.xxhash64("member"), parts).cast("int").alias("part"))
@@ -141,11 +145,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_compare, "u long, v long")
 
 
-def _classes(links: list[DataFrame]) -> DataFrame:
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    return stage(components(edges), "classes")
+def _classes(links: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(node, root) by staged (u, v) links and by the classes so far, which stand for the links before."""
+    edges = links
+    if classes is not None:
+        edges = classes.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)
+    return stage(few_components(edges) if edges.count() <= FEW else components(edges), "classes")
 
 
 def _best(rows: DataFrame) -> DataFrame:
@@ -182,35 +187,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stage(banded.join(many, "band"), "members")
     texts = stage(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
 
-    # Rows that share a doc_id tie their sets together.
-    links = [full.join(sets.where("rep <> last"), key).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")]
     classes = None
     for k in range(ROUNDS):
-        open_rows = _open(members, classes)
-        lead = stage(open_rows.groupBy("band").agg(F.min_by(F.struct("doc_id", "n", "root"), F.xxhash64("doc_id", F.lit(k)) if k else F.col("doc_id")).alias("lead")), "leads")
-        rows = open_rows.join(lead, "band").where(F.col("root") != F.col("lead.root")).withColumn("lead_n", F.col("lead.n")).where(_fits("n", "lead_n"))
+        rooted, mixed = _open(members, classes, k)
+        rows = rooted.join(mixed, "band").where(F.col("root") != F.col("lead.root")).withColumn("lead_n", F.col("lead.n")).where(_fits("n", "lead_n"))
         pairs = _best(rows.select(F.col("lead.doc_id").alias("leader"), F.col("doc_id").alias("member")))
         pairs = stage(pairs.select("leader", "member"), "round")
-        if pairs.isEmpty():
+        compared = pairs.count()
+        if not compared:
+            break
+        links = stage(verified(pairs, texts), "links")
+        classes = _classes(links, classes)
+        if k == ROUNDS - 1 or links.count() < compared / WORTH:
+            rooted, mixed = _open(members, classes, k + 1)
             break
-        links.append(stage(verified(pairs, texts), "links"))
-        classes = _classes(links[1:])
     sketches = reps.select("doc_id", "sketch", "bands").dropDuplicates(["doc_id"])
-    links.append(stage(_across(_open(members, classes), sketches, texts), "links"))
-    classes = _classes(links)
+    # Rows that share a doc_id tie their sets together.
+    tied = full.join(sets.where("rep <> last"), key).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
+    classes = _classes(stage(_across(rooted, mixed, sketches, texts).unionByName(tied), "links"), classes)
     named = stage(sets.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("component_id")), "named")
     out = sig.select("doc_id", *key).join(named, key, "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _open(members: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """The rows of buckets whose members aren't all of one class, with the class of each."""
-    if classes is None:
-        return members.withColumn("root", F.col("doc_id"))
-    rooted = stage(members.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "rooted")
-    mixed = stage(rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band"), "mixed")
-    return stage(rooted.join(mixed, "band", "left_semi"), "open")
+def _open(members: DataFrame, classes: DataFrame | None, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of buckets with the class of each, and the buckets whose rows aren't all of one: (band, m rows, lead of round ``k``)."""
+    rooted = members.withColumn("root", F.col("doc_id"))
+    if classes is not None:
+        rooted = stage(members.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "rooted")
+    lead = F.min_by(F.struct("doc_id", "n", "root"), F.xxhash64("doc_id", F.lit(k)) if k else F.col("doc_id"))
+    buckets = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m"), lead.alias("lead"))
+    return rooted, stage(buckets.where("a <> b").select("band", "m", "lead"), "mixed")
 
 
 class _Block:
@@ -273,11 +281,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield links()
 
 
-def _across(rows: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+def _across(rooted: DataFrame, mixed: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (u, v) between rows of one bucket whose classes differ."""
-    crowded = stage(rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "crowded")
-    dealt = rows.join(crowded, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = stage(rooted.join(mixed.select("band", F.ceil(F.col("m") / BLOCK).alias("blocks")), "band"), "open")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     whole = stage(sketches.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").join(texts, "doc_id"), "whole")
     dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "root").join(whole, "doc_id")
     dealt = dealt.select("band", "i", "j", "own", "doc_id", "n", "root", "sketch", "bands", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")

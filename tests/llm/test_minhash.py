@@ -3,7 +3,8 @@ import random
 
 import numpy as np
 
-from codeloom.llm.components import components
+from codeloom.llm import components as stars, minhash
+from codeloom.llm.components import components, few_components
 from codeloom.llm.minhash import BANDS, ROWS, near_duplicates, sketch
 from codeloom.llm.words import series, shingles, hashed_words
 from helpers import ODD, docs, shingle_set
@@ -111,3 +112,31 @@ def test_components_of_a_long_chain(spark):
 
 def test_components_of_nothing(spark):
     assert components(spark.range(0).selectExpr("id as u", "id as v")).count() == 0
+
+
+def test_few_tables_are_staged(spark, monkeypatch):
+    # Each is a pass over all partitions, which cost more than the work itself where those are many.
+    labels = []
+
+    def counting(df, label, put=minhash.stage):
+        labels.append(label)
+        return put(df, label)
+
+    for module in (minhash, stars):
+        monkeypatch.setattr(module, "stage", counting)
+    check(spark, corpus())
+    assert len(labels) <= 30, labels
+
+
+def test_many_links_take_rounds_of_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FEW", 0)
+    check(spark, corpus())
+
+
+def test_few_components_are_those_of_shuffles(spark):
+    r = random.Random(5)
+    links = [(r.randint(-60, 60), r.randint(-60, 60)) for _ in range(70)] + [(99, 99), (None, 7), (8, None)]
+    edges = spark.createDataFrame(links, "u long, v long")
+    few = {(x.node, x.root) for x in few_components(edges).collect()}
+    assert few == {(x.node, x.root) for x in components(edges).collect()}
+    assert few_components(edges.limit(0)).count() == 0
