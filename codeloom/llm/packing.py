@@ -9,7 +9,8 @@ tasks, by the same rule on their lengths, in ever fewer tasks.
 
 Tokens are those of a public tokenizer whose file is a parameter. It never joins
 tokens across white space, so ids are looked up by blank-separated chunk in a
-bounded cache, and the tokenizer runs only on chunks that aren't in it. Texts
+bounded cache, and the tokenizer runs only on chunks that aren't in it; where it
+folds case, Latin-1 texts are folded first. Texts
 with special tokens in them or with control characters on which the notions of
 white space differ go to the tokenizer whole.
 """
@@ -102,6 +103,16 @@ class Recent:
         return list(out.difference(found))
 
 
+def folded(text: str | None) -> str:
+    """Lower case where Python and the tokenizer agree on it, character by character: texts of Latin-1."""
+    if text and not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return (text or "").lower()
+
+
 def token_source(path: str) -> Callable[[], Callable[[list], list[bytes]]]:
     """A maker, for workers, of a function from texts to their ids as little-endian 32-bit bytes, each with id 0 at the end."""
 
@@ -116,7 +127,11 @@ def token_source(path: str) -> Callable[[], Callable[[list], list[bytes]]]:
         if getattr(kept, "path", None) != path:
             from tokenizers import Tokenizer
 
-            kept.path, kept.tokenizer = path, Tokenizer.from_file(path)
+            kept.path, kept.tokenizer, kept.whole = path, Tokenizer.from_file(path), Tokenizer.from_file(path)
+            # Words that go to the tokenizer are new to it: its own cache would only cost time.
+            getattr(kept.tokenizer.model, "_resize_cache", int)(0)
+            normal = kept.whole.normalizer
+            kept.folds = normal is not None and all(normal.normalize_str(x) == normal.normalize_str(x.lower()) for x in map(chr, range(256)))
             names = kept.tokenizer.get_vocab()
             kept.last = np.zeros(max(names.values()) + 1, bool)
             kept.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
@@ -124,7 +139,7 @@ def token_source(path: str) -> Callable[[], Callable[[list], list[bytes]]]:
         known = kept.chunks
 
         def encode(texts: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for i in range(0, len(texts), 10_000) for e in kept.tokenizer.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False)]
+            return [array("I", e.ids).tobytes() for i in range(0, len(texts), 10_000) for e in kept.whole.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False)]
 
         def encode_plain(parts: list[str]) -> list[bytes]:
             """Ids of parts that the tokenizer doesn't cut: many in one text, told apart by their last tokens."""
@@ -144,8 +159,11 @@ def token_source(path: str) -> Callable[[], Callable[[list], list[bytes]]]:
 
         def learn(chunks: set) -> None:
             """A plain chunk's ids are those of its parts, so a word is looked up once for all marks around it."""
-            plain, cuts, whole, parts = [], [], [], set()
+            words, plain, cuts, whole, parts = [], [], [], [], set()
             for chunk in known.lacking(chunks):
+                if chunk.isascii() and chunk.isalpha():
+                    words.append(chunk)
+                    continue
                 cut = _PLAIN.fullmatch(chunk)
                 if cut:
                     plain.append(chunk)
@@ -153,10 +171,11 @@ def token_source(path: str) -> Callable[[], Callable[[list], list[bytes]]]:
                     parts.update(cuts[-1])
                 else:
                     whole.append(chunk)
-            ids = {part: known.newer.get(part) or known.older.get(part) for part in parts}
+            ids = {part: known.newer.get(part) or known.older.get(part) for part in parts.difference(words)}
             ids[""] = b""
-            new = [part for part, found in ids.items() if found is None]
-            ids.update(zip(new, encode_plain(new), strict=True))
+            words.extend([part for part, found in ids.items() if found is None])
+            ids.update(zip(words, encode_plain(words), strict=True))
+            known.newer.update(ids)
             known.newer.update((chunk, ids[x] + ids[y] + ids[z]) for chunk, (x, y, z) in zip(plain, cuts, strict=True))
             known.newer.update(zip(whole, encode(whole), strict=True))
 
@@ -176,7 +195,7 @@ def token_source(path: str) -> Callable[[], Callable[[list], list[bytes]]]:
 
             for text in texts:
                 odd = text and any(x in text for x in _ODD)
-                waiting.append(None if odd else (text or "").split())
+                waiting.append(None if odd else (folded(text) if kept.folds else text or "").split())
                 together.update(waiting[-1] or ())
                 if len(together) > CACHE // 8:
                     flush()

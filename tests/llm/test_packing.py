@@ -93,3 +93,26 @@ def test_a_word_is_tokenised_once_for_all_marks_around_it():
         kept.tokenizer = plain
     assert seen.count("zorbleflux") == 1 and not any("zorbleflux" in x and x != "zorbleflux" for x in seen)
     assert found == b"".join(i.to_bytes(4, "little") for i in plain.encode(text, add_special_tokens=False).ids) + END
+
+
+def test_a_word_is_tokenised_once_in_upper_and_lower_case():
+    import sys
+
+    many = token_source(tokenizer_path())()
+    kept = sys.modules["_codeloom_tokens"]
+    plain, seen = kept.tokenizer, []
+
+    class Counting:
+        def encode(self, text, **options):
+            seen.extend(text.split(" "))
+            return plain.encode(text, **options)
+
+    texts = ["Quorblezép quorblezép, QUORBLEZÉP!", "\u0130 Quorblezép \u03a3\u03a3 O\u03a3", "<|ENDOFTEXT|> Quorblezép <|endoftext|>", None]
+    kept.tokenizer = Counting()
+    try:
+        found = many(texts[:1])
+    finally:
+        kept.tokenizer = plain
+    assert [x.lower() for x in seen].count("quorblezép") == 1
+    found += many(texts[1:])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [brute_ids(x) for x in texts]
